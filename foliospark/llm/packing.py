@@ -123,6 +123,9 @@ def pack_all(sized: DataFrame, key: str, capacities: list[tuple[str, int]]) -> D
     for name, capacity in sorted(capacities):
         one = pack(sized, key, capacity).select(F.lit(name).alias("pack_name"), F.lit(capacity).alias("capacity"), key, "part", "start", "tokens", "pack", "place")
         out = one if out is None else out.unionByName(one)
+    if out is None:  # no capacities, no packs
+        empty = pack(sized.limit(0), key, 1)
+        return empty.select(F.lit("").alias("pack_name"), F.lit(0).alias("capacity"), key, "part", "start", "tokens", "pack", "place")
     return out
 
 
