@@ -106,11 +106,14 @@ def priority_lookup(t: Tables) -> DataFrame:
 @query("""with x as (select distinct record_id, unnest(tags) as tag from metadata_records), y as (select tag from x group by tag having count(*) between 2 and 40)
   select a.record_id as a, b.record_id as b, count(*) as shared from x a join x b on a.tag = b.tag and a.record_id < b.record_id where a.tag in (select tag from y) group by 1, 2 having count(*) >= 2""")
 def shared_tags(t: Tables) -> DataFrame:
-    """Records that share at least two of the rarer tags."""
-    x = t.metadata_records.select("record_id", F.explode("tags").alias("tag")).distinct()
-    rare = x.groupBy("tag").agg(n().alias("n")).filter("n between 2 and 40").select("tag")
-    x = x.join(rare, "tag")
-    return x.alias("a").join(x.alias("b"), "tag").filter("a.record_id < b.record_id").groupBy(F.col("a.record_id").alias("a"), F.col("b.record_id").alias("b")).agg(n().alias("shared")).filter("shared >= 2")
+    """Records that share at least two tags, however common these are.
+
+    The key is a pair of a record's tags, so only records of the result meet; s shared tags are s(s-1)/2 shared pairs.
+    """
+    tags = t.metadata_records.select("record_id", F.explode("tags").alias("tag")).filter("tag is not null").groupBy("record_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+    two = tags.select("record_id", F.posexplode("tags").alias("i", "tag"), "tags").select("record_id", F.col("tag").alias("x"), F.explode(F.expr("slice(tags, i + 2, size(tags))")).alias("y"))
+    met = two.alias("a").join(two.alias("b"), ["x", "y"]).filter("a.record_id < b.record_id").groupBy(F.col("a.record_id").alias("a"), F.col("b.record_id").alias("b")).agg(n().alias("c"))
+    return met.select("a", "b", F.round((1 + F.sqrt(1 + 8 * F.col("c"))) / 2).cast("long").alias("shared"))
 
 
 @query("""select source, count(*) as records, count(distinct book_id) as books, count(*) filter (where isbn is not null) as with_isbn, round(100.0 * count(*) filter (where isbn is not null) / nullif(count(*), 0), 1) as pct,
