@@ -16,17 +16,20 @@ query = registrar(QUERIES)
   p as (select distinct a.id as a, b.id as b from k a join k b on a.w = b.w and a.id < b.id where a.w in (select w from c)), s as (select p.a, p.b, x.isbn is not null and x.isbn <> '' and x.isbn = y.isbn as same, x.title = y.title as exact, len(list_intersect(x.ws, y.ws)) / len(list_distinct(list_concat(x.ws, y.ws))) as j from p join w x on x.id = p.a join w y on y.id = p.b),
   z as (select a, b, case when exact then 50 when j > 0.7 then 35 when j > 0.5 then 20 else 0 end as t, case when same then 30 else 0 end as i from s) select a, b, t + i as score from z where t > 0 and t + i >= 40""")
 def duplicate_signals(t: Tables) -> DataFrame:
-    """Pairs of books scored by several signals, found in blocks of rarer shared title words."""
+    """Pairs of books scored by several signals.
+
+    40 points take an equal title, or an equal number beside like titles: two equi-joins find every such pair.
+    """
     w = t.books.select("id", "title", "isbn", F.array_distinct(T.words(F.col("title"))).alias("ws"))
-    k = w.select("id", F.explode("ws").alias("w"))
-    rare = k.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n between 2 and 60").select("w")
-    k = k.join(rare, "w")
-    p = k.alias("x").join(k.alias("y"), "w").filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    side = lambda s: w.select(F.col("id").alias(s), F.col("title").alias(f"t{s}"), F.col("isbn").alias(f"i{s}"), F.col("ws").alias(f"w{s}"))
-    j = T.jaccard(F.col("wa"), F.col("wb"))
-    title = F.when(F.col("ta") == F.col("tb"), 50).when(j > 0.7, 35).when(j > 0.5, 20).otherwise(0)
-    score = title + F.when((F.col("ia") != "") & (F.col("ia") == F.col("ib")), 30).otherwise(0)
-    return p.join(side("a"), "a").join(side("b"), "b").filter(title > 0).select("a", "b", score.alias("score")).filter("score >= 40")
+    x, y = w.alias("x"), w.alias("y")
+    j = T.jaccard(F.col("x.ws"), F.col("y.ws"))
+    same = F.coalesce((F.col("x.isbn") != "") & (F.col("x.isbn") == F.col("y.isbn")), F.lit(False))
+    title = F.when(F.coalesce(F.col("x.title") == F.col("y.title"), F.lit(False)), 50).when(j > 0.7, 35).when(j > 0.5, 20).otherwise(0)
+    scored = lambda p: p.filter(F.col("x.id") < F.col("y.id")).filter(title > 0).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (title + F.when(same, 30).otherwise(0)).alias("score"))
+    by_title = scored(x.join(y, F.col("x.title") == F.col("y.title")))
+    # pairs of equal titles are in the other branch
+    by_number = scored(x.join(y, (F.col("x.isbn") == F.col("y.isbn")) & (F.col("x.isbn") != "") & ~F.col("x.title").eqNullSafe(F.col("y.title"))))
+    return by_title.unionByName(by_number).filter("score >= 40")
 
 
 @query("""with r as (select r.*, s.trust from metadata_records r join meta_sources s using (source)) select book_id, arg_max(title, (trust, fetched_at, record_id)) as title, arg_max(description, (length(description), record_id)) filter (where description is not null) as description,

@@ -1,5 +1,6 @@
 """Queries against brute force over small tables that hold what blocks and caps would lose."""
 
+import re
 from itertools import combinations
 
 from foliospark.plans import registry
@@ -16,3 +17,17 @@ def test_shared_tags_of_any_frequency(spark, tmp_path):
     sets = {i: set(v or []) - {None} for i, v in tags.items()}
     want = sorted((a, b, len(sets[a] & sets[b])) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 2)
     assert len(want) == 1770 and _rows(spark, tmp_path, "shared_tags", metadata_records=(list(tags.items()), "record_id long, tags array<string>")) == want
+
+
+def test_duplicate_signals_of_common_words_and_other_scripts(spark, tmp_path):
+    books = [(i, f"the history of {chr(97 + i // 26) * 2}{chr(97 + i % 26) * 2}", None) for i in range(70)]
+    books += [(100, "the history", ""), (101, "the history", ""), (102, "война и мир", None), (103, "война и мир", "1"), (104, "the history of aaaa", "2"), (105, "the history of aaaa of", "2"), (106, "of the history", "1"), (107, "война", "1"), (108, None, "2"), (109, None, "2")]
+    words = {i: {w for w in re.findall("[a-zà-ÿ]{2,}", (t or "").lower())} for i, t, _ in books}
+    want = []
+    for (a, t, m), (b, u, n) in combinations(books, 2):
+        j = len(words[a] & words[b]) / max(len(words[a] | words[b]), 1)
+        score = (50 if t and t == u else 35 if j > 0.7 else 20 if j > 0.5 else 0) or -99
+        score += 30 if m and m == n else 0
+        want += [(a, b, score)] if score >= 40 else []
+    assert {(100, 101, 50), (102, 103, 50), (104, 105, 65)} <= set(want)
+    assert _rows(spark, tmp_path, "duplicate_signals", books=(books, "id long, title string, isbn string")) == sorted(want)
