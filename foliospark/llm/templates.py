@@ -1,12 +1,14 @@
 """Template residue, filler, error pages and script notices, by mined message templates.
 
 Every line of a text is cut into sentences, and those with any sign of residue
-(an unfilled slot, or a word of error pages, script notices or filler) become
+(an unfilled slot, a word of error pages, script notices or filler, or the
+surroundings of an error page: a bar of links, a call to try again) become
 messages: slots and numbers masked, in lower case.  A prefix tree of fixed
 depth (number of tokens, then the first two) puts messages into leaves; within
 a leaf, tokens that most messages share stay and the others become wildcards.
 The resulting templates are few, and are classified once, over all the lines
-they occur on: a template that mostly stands amid prose, or that reports what
+they occur on, with signs or without: a template that mostly stands amid
+prose, or that reports what
 someone or something says, mentions such things and is no residue.  Verdicts
 go back to the documents over the messages.
 
@@ -50,12 +52,17 @@ FILLER = r"""blindtext|fülltext|texte de remplissage|texto de relleno|texto sim
 \bblah blah|\btest test test|^todo:|\btodo: |undefined by undefined|\bnan pages|invalid date|^(?:title|author|summary|publisher|isbn|genre|year): (?:null|undefined|nan|none)\b|\[object object|quick brown fox|asdf asdf|\bx{3,}(?: x{2,})+|type something here|enter (?:text|description) here"""
 # The words of the customary mock Latin.
 MOCK_LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum aenean"
-_MOCK_HINT = r"(?i:\b(?:lorem|ipsum|dolor|nostrud|ullamco|eiusmod|adipiscing|incididunt|consectetur|laboris|pariatur|commodo|aliqua|aute|cillum|fugiat|velit|labore)\b)"
 # What follows an error or notice on its page, and the links around it.
 AROUND = r"""again|retry|reload|go back|back to|previous page|contact the|help desk|sign in|administrator|browser settings|erneut|neu laden|réessayez|recharge|inténtelo|recarg|kennung|\bcode [0-9a-f]{6,}|startseite|accueil|catalogue|katalog|menu|my shelf|library portal|©|it may have been|cannot start without|preview\.\.\.|if nothing happens|n'existe plus|render_page|file \""""
 # Words with which prose reports, quotes or explains such things.
 REPORTS = r"""is called|\bwrites, and|\bjokes?\b|complains?|startled|made me laugh|handbook|\bmanual\b|le manuel|el manual|workbook|lehrbuch|handbuch|\bexercise\b|\bessay\b|\bnovel\b|\broman\b|\bpoet\b|\bpoem\b|ghost story|teaches|prints a traceback|volume and|mail merge|template variables|what a template|blank slots|second part|so many sites|walks through it|screen saying|line by line|running gag|history of|historia del|geschichte de|l'histoire d"""
 
+# A bar of links, by its form; and calls to try again.
+BAR = r"^[^|·»›.!?\n]{1,25}(?:\s[|·»›]\s[^|·»›.!?\n]{1,25}){2,}$"
+RETRY = r"\btry (?:it )?(?:again|later)\b|\bretry\b|\breload\b|^(?:please )?go back\b|versuchen sie|erneut versuchen|\bneu laden\b|réessayez|rechargez|inténtelo|recargue"
+#: Words of a call to try again and of a sentence of an error page without other signs, and sentences of its line, at most.
+FEW_WORDS, SHORT_LINE, SENTENCES = 6, 20, 3
+
 _one_line = lambda x: "(?i)(?:" + "|".join(x.strip().split("\n")) + ")"
 
 
@@ -67,27 +74,34 @@ def _mock(tokens: Column) -> Column:
 
 
 def messages(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The suspect sentences of ``docs``: (key, line, apart, kind, slots, masked, tokens).
+    """Every sentence of ``docs``: (key, line, apart, kind, slots, masked, tokens).
 
-    ``kind`` is the first that holds of slot, filler, error and script;
-    ``apart`` says that no other sentence of the line is free of such signs.
+    ``kind`` is the first that holds of slot, filler, error and script, 'error'
+    for a short line without such signs that stands beside a bar of links or
+    before a call to try again, and else null; ``apart`` says that no other
+    sentence of the line is free of such signs.
     """
-    lines = docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), r"\s*\n\s*")).alias("line", "words")).filter(F.trim("words") != "")
-    any_sign = "(?:" + "|".join([SLOT, *(_one_line(x) for x in (FILLER, ERROR, SCRIPT)), _MOCK_HINT]) + ")"
-    # one pass over each line; the few lines with a sign are cut into sentences
-    lines = lines.filter(F.col("words").rlike(any_sign))
-    part = F.transform(F.split("words", r"(?<=[.!?…])\s+"), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
+    lines = F.filter(F.split(F.col(text), r"\s*\n\s*"), lambda x: F.trim(x) != "")
+    bar = lambda i: F.coalesce(F.get("lines", i).rlike(BAR), F.lit(False))
+    lines = docs.select(F.col(key).alias("key"), lines.alias("lines"))
+    lines = lines.select("key", F.posexplode(F.transform("lines", lambda x, i: F.struct(x.alias("words"), (bar(i - 1) | bar(i + 1)).alias("beside"), x.rlike(BAR).alias("bar")))).alias("line", "l")).select("key", "line", "l.*")
+    part = F.transform(F.split("words", r"(?<=[.!?…])\s+"), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low"), F.size(F.split(s, " ")).alias("n")))
     signs = F.transform(
         part,
         lambda p: F.struct(
             p["s"].alias("s"),
             F.when(p["s"].rlike(SLOT), "slot").when(p["low"].rlike(_one_line(FILLER)) | _mock(F.split(F.regexp_replace(p["low"], r"[^\p{L} ]", ""), r" +")), "filler").when(p["low"].rlike(_one_line(ERROR)), "error").when(p["low"].rlike(_one_line(SCRIPT)), "script").alias("kind"),
             p["low"].rlike(_one_line(AROUND)).alias("around"),
+            (p["low"].rlike(RETRY) & (p["n"] <= FEW_WORDS)).alias("retry"),
+            p["n"].alias("n"),
         ),
     )
-    marked = lines.select("key", "line", signs.alias("parts")).filter(F.exists("parts", lambda p: p["kind"].isNotNull()))
+    marked = stage(lines.select("key", "line", "beside", "bar", signs.alias("parts")), "sentences")
     apart = F.forall("parts", lambda p: p["kind"].isNotNull() | p["around"])
-    one = marked.select("key", "line", apart.alias("apart"), F.explode(F.filter("parts", lambda p: p["kind"].isNotNull())).alias("p")).select("key", "line", "apart", "p.s", "p.kind")
+    page = ~F.col("bar") & (F.size("parts") <= SENTENCES) & F.forall("parts", lambda p: p["kind"].isNull() & (p["n"] <= SHORT_LINE)) & (F.col("beside") | F.exists("parts", lambda p: p["retry"]) & F.exists("parts", lambda p: ~p["retry"]))
+    one = marked.select("key", "line", apart.alias("apart"), page.alias("page"), F.explode("parts").alias("p"))
+    of_page = F.col("page") & ~F.col("p.retry")
+    one = one.select("key", "line", (F.col("apart") | of_page).alias("apart"), "p.s", F.when(F.col("p.kind").isNull() & of_page, "error").otherwise(F.col("p.kind")).alias("kind"))
     masked = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace("s", SLOT, " ‹slot› "), r"\b[0-9a-fA-F]{8,}\b|\d+", "‹n›"), r"[\p{Punct}«»“”„—&&[^'%#$@]]+", " "))
     return one.select("key", "line", "apart", "kind", F.regexp_count("s", F.lit(SLOT)).alias("slots"), F.trim(F.regexp_replace(masked, r"\s+", " ")).alias("masked")).withColumn("tokens", F.split("masked", " "))
 
@@ -108,9 +122,10 @@ def mine(found: DataFrame) -> DataFrame:
 
 def classify(found: DataFrame, templates: DataFrame) -> DataFrame:
     """(template, verdict, occurrences, apart_share): 'slot', 'filler', 'error', 'script' or 'mention' for each template."""
-    seen = found.groupBy("masked", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("apart").cast("long")).alias("apart"))
+    # a message may also stand amid prose, where nothing made it one
+    seen = found.groupBy("masked", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("apart") & F.col("kind").isNotNull()).cast("long")).alias("apart"))
     by = seen.join(templates, "masked").groupBy("template").agg(
-        F.sum("n").alias("occurrences"), F.sum("apart").alias("apart"), F.max_by("kind", "n").alias("kind"), F.max(F.col("masked").rlike(_one_line(REPORTS)).cast("int")).alias("reports")
+        F.sum("n").alias("occurrences"), F.sum("apart").alias("apart"), F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("n"))).alias("kind"), F.max(F.col("masked").rlike(_one_line(REPORTS)).cast("int")).alias("reports")
     )
     share = F.col("apart") / F.col("occurrences")
     # slots stand amid prose by nature: there only the wording tells a mention
@@ -125,9 +140,10 @@ def residue(docs: DataFrame, key: str, text: str) -> DataFrame:
     The sentences are written once and read three times; verdicts are broadcast
     by nobody: templates may be many, and join by shuffle.
     """
-    found = stage(messages(docs, key, text), "messages")
+    every = stage(messages(docs, key, text), "messages")
+    found = every.filter("kind is not null")
     templates = stage(mine(found), "templates")
-    verdicts = classify(found, templates)
+    verdicts = classify(every, templates)
     judged = templates.join(verdicts, "template").select("masked", "verdict").filter("verdict <> 'mention'")
     # a message read alone amid prose is judged by its template, unless it could be no more than a phrase of the prose
     alone = (F.col("verdict").isin("slot", "filler")) | F.col("apart")

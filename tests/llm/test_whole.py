@@ -2,7 +2,7 @@
 
 import pytest
 
-from foliospark.llm import matching
+from foliospark.llm import matching, templates
 
 
 @pytest.mark.parametrize(
@@ -18,3 +18,17 @@ from foliospark.llm import matching
 def test_rows_meet_their_books_without_numbers(book, row):
     keys = [set(matching._keys([t], [a or ""], [])) for t, a in (book, row)]
     assert keys[0] & keys[1]
+
+
+def test_error_pages_of_unlisted_wording(spark):
+    prose = "The third courier lost her way near the river. She slept under the bridge."
+    docs = [
+        (1, "Home | Catalogue | My shelf | Help\nRequest timed out after 573 ms. Please reload."),
+        (2, "Lo sentimos - no se encontró la página solicitada. Inténtelo más tarde."),
+        (3, prose + " Then she walked on and on until the evening light went out over the hills. Never again."),
+        (4, "Start · Regal · Hilfe\nDieser Inhalt fehlt hier."),
+        (5, "ÉCHEC: ACCÈS REFUSÉ"),
+    ]
+    docs += [(10 + i, f"The cover is plain. Also issued as an audiobook of {i} hours. {prose}") for i in range(20)] + [(40, "Also issued as an audiobook of 9 hours.\nHome | Catalogue | Help")]
+    got = templates.residue(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 4, 5]
