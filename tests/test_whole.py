@@ -31,3 +31,19 @@ def test_duplicate_signals_of_common_words_and_other_scripts(spark, tmp_path):
         want += [(a, b, score)] if score >= 40 else []
     assert {(100, 101, 50), (102, 103, 50), (104, 105, 65)} <= set(want)
     assert _rows(spark, tmp_path, "duplicate_signals", books=(books, "id long, title string, isbn string")) == sorted(want)
+
+
+def test_close_names_with_slips_anywhere(spark, tmp_path):
+    base = "Ann Ferigegate"
+    names = {base, base.upper(), "Xnn Ferigegate", "nAn Ferigegate", "n Ferigegate", "Ann Ferigega", "AnnX Ferixegate", "XXAnn Ferigegate", "Ann Feriggeate", "Ann XXFerigegate", "An Ferigegat", "Bob Zu", "Ann Xerigegxtex"}
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            new = [i]
+            for j, d in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return row[-1]
+
+    want = sorted((a, b) for a, b in combinations(sorted(x for x in names if len(x) > 8), 2) if edits(a.lower(), b.lower()) <= 2)
+    assert _rows(spark, tmp_path, "close_names", authors=([(x,) for x in names], "name string")) == want
