@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 from foliospark.operators import vectors as V
+from foliospark.operators.edits import within_edits
 from foliospark.plans.base import Tables, registrar
 
 QUERIES: dict = {}
@@ -144,19 +145,13 @@ def parsed_dates(t: Tables) -> DataFrame:
 
 @query(r"""with x as (select distinct name, substr(lower(name), 1, 3) as b from authors where length(name) > 8) select a.name as a, b.name as b from x a join x b on a.b = b.b and a.name < b.name where levenshtein(lower(a.name), lower(b.name)) <= 2""")
 def close_names(t: Tables) -> DataFrame:
-    """Names within two edits.
-
-    Two edits leave one of three pieces of the longer name whole, moved by two letters at most: the pieces of the
-    one name meet the windows of the other, by length and piece, and no pair is lost.
-    """
-    x = t.authors.filter(F.length("name") > 8).select("name", F.lower("name").alias("low")).distinct().withColumn("n", F.length("low"))
-    start, size = "cast(floor(i * n / 3) as int)", "cast(floor((i + 1) * n / 3) as int) - cast(floor(i * n / 3) as int)"
-    pieces = x.select("name", "low", F.expr(f"explode(transform(sequence(0, 2), i -> struct(n, i, substr(low, {start} + 1, {size}) as piece)))").alias("k"))
-    at = x.select("name", "low", F.col("n").alias("m"), F.expr("explode(sequence(n, n + 2))").alias("n")).select("name", "low", "n", F.expr(f"explode(flatten(transform(sequence(0, 2), i -> transform(sequence(-2, 2), d -> struct(n, i, case when {start} + d >= 0 then substr(low, {start} + d + 1, {size}) end as piece)))))").alias("k"))
-    at = at.select("name", "low", "k").distinct()
-    # the longer name is cut into pieces; of equal lengths either is
-    met = pieces.alias("a").join(at.alias("b"), "k").filter("a.name <> b.name").filter(F.levenshtein("a.low", "b.low") <= 2)
-    return met.select(F.least("a.name", "b.name").alias("a"), F.greatest("a.name", "b.name").alias("b")).distinct()
+    """Names within two edits of one another, whatever their letter case; names of eight letters or fewer are left out."""
+    x = t.authors.filter(F.length("name") > 8).select("name", F.lower("name").alias("low")).distinct()
+    near = within_edits(x, "low", 2)
+    pairs = near.join(x.select(F.col("low").alias("a"), F.col("name").alias("na")), "a").join(x.select(F.col("low").alias("b"), F.col("name").alias("nb")), "b").select("na", "nb")
+    same = x.alias("x").join(x.alias("y"), "low").filter("x.name < y.name").select(F.col("x.name").alias("na"), F.col("y.name").alias("nb"))
+    both = pairs.unionByName(same)
+    return both.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
 
 
 @query()
