@@ -6,7 +6,7 @@ engine takes for a word character.  Every function gives null for null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accented letters and their bases, in one order.
@@ -67,22 +67,47 @@ def strip_tags(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), "[ \t\r\n]+", " "))
 
 
+def let(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` computed once a row: an expression named inside a lambda is else computed anew for each element."""
+    return F.transform(F.array(x), f)[0]
+
+
 def shingles(w: Column, k: int) -> Column:
     """Windows of ``k`` words; the whole text if it is shorter, none if it is empty."""
-    n = F.size(w)
-    return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.concat_ws(" ", w))).otherwise(F.transform(F.sequence(F.lit(0), n - k), lambda i: F.concat_ws(" ", F.slice(w, i + 1, k))))
+    none = F.array().cast("array<string>")
+    windows = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - k), lambda i: F.array_join(F.slice(v, i + 1, k), " "))
+    return let(w, lambda v: F.when(F.size(v) == 0, none).when(F.size(v) < k, F.array(F.array_join(v, " "))).otherwise(windows(v)))
 
 
 def grams(c: Column, k: int) -> Column:
     """Windows of ``k`` characters; none if the text is shorter."""
-    n = F.length(c)
-    return F.when(n < k, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(c, i, k)))
+    none = F.array().cast("array<string>")
+    return let(c, lambda v: F.when(F.length(v) < k, none).otherwise(F.transform(F.sequence(F.lit(1), F.length(v) - k + 1), lambda i: F.substring(v, i, F.lit(k)))))
+
+
+#: The modulus of the hash family: the greatest prime below 2^28, so that products stay within 64 bits.
+PRIME = 268435399
+
+
+def family(k: int) -> tuple[int, int]:
+    """Factor and summand of the ``k``-th hash function."""
+    return (k * 2654435761 + 40503) % (PRIME - 1) + 1, (k * 805459861 + 97) % PRIME
+
 
+def item_hash(c: Column) -> Column:
+    """The first 28 bits of an item's MD5, the same in every engine and run."""
+    return F.conv(F.substring(F.md5(c), 1, 7), 16, 10).cast("long")
 
-def minhash(items: Column, n: int) -> Column:
-    """``n`` minimum hashes of the items; null for none."""
-    one = lambda k: F.array_min(F.transform(items, lambda x: F.xxhash64(F.lit(k), x)))
-    return F.when(F.size(items) > 0, F.array(*[one(k) for k in range(n)]))
+
+def minhashes(df: DataFrame, key: str, text: str, n: int, k: int = 5) -> DataFrame:
+    """(key, signature): the ``n`` minimum hashes of the shingles of ``k`` words of each text; texts without words are absent.
+
+    Each shingle is hashed once; minima are combined on the map side, so one
+    row a text and task is shuffled however long texts are.
+    """
+    h = df.select(key, F.explode(shingles(words(F.col(text)), k)).alias("_s")).select(key, item_hash(F.col("_s")).alias("_h"))
+    least = [F.min((F.col("_h") * a + b) % PRIME) for a, b in map(family, range(n))]
+    return h.groupBy(key).agg(F.array(*least).alias("signature"))
 
 
 def minhash_similarity(a: Column, b: Column) -> Column:
@@ -90,16 +115,6 @@ def minhash_similarity(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size(a)
 
 
-def simhash(items: Column) -> Column:
-    """A 64-bit signature whose bits are the majorities of the items' hash bits."""
-    hashes = F.transform(items, lambda x: F.xxhash64(x))
-    bit = lambda k: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.getbit(h, F.lit(k)) == 1, 1).otherwise(-1))
-    total = F.lit(0).cast("long")
-    for k in range(64):
-        total = total.bitwiseOR(F.when(bit(k) > 0, F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
-    return total
-
-
 def syllables(w: Column) -> Column:
     """Syllables of a word in lower case: 1 up to three letters, else groups of vowels without a final e, at least 1."""
     groups = F.size(F.regexp_extract_all(F.regexp_replace(w, "e$", ""), F.lit("[aeiouy]+"), 0))
@@ -112,14 +127,26 @@ def isbn_digits(c: Column) -> Column:
 
 
 def isbn13(c: Column) -> Column:
-    """A valid number as 13 digits, else null: checksums of both lengths; numbers of one or two distinct digits are none."""
+    """A valid number as 13 digits, else null.
+
+    Checksums of both lengths are verified; twelve digits that begin like a
+    number get the digit that is missing; shop numbers (ten characters from B)
+    and numbers of one or two distinct digits are none.
+    """
     d = isbn_digits(c)
     digit = lambda s, i: F.when(F.substring(s, i, 1) == "X", 10).otherwise(F.substring(s, i, 1).try_cast("int"))
-    sum13 = sum((digit(d, i) * (1 if i % 2 else 3) for i in range(1, 14)), F.lit(0))
+    weighed = lambda s, k: sum((digit(s, i) * (1 if i % 2 else 3) for i in range(1, k + 1)), F.lit(0))
     sum10 = sum((digit(d, i) * (11 - i) for i in range(1, 11)), F.lit(0))
+    check = lambda s: F.pmod(10 - F.pmod(weighed(s, 12), F.lit(10)), F.lit(10)).cast("string")
     stem = F.concat(F.lit("978"), F.substring(d, 1, 9))
-    check = F.pmod(10 - F.pmod(sum((digit(stem, i) * (1 if i % 2 else 3) for i in range(1, 13)), F.lit(0)), F.lit(10)), F.lit(10))
     varied = F.size(F.array_distinct(F.split(d, ""))) > 3
-    ok13 = d.rlike("^97[89][0-9]{10}$") & (F.pmod(sum13, F.lit(10)) == 0)
+    shop = F.startswith(F.trim(c), F.lit("B")) & (F.length(F.trim(c)) == 10)
+    ok13 = d.rlike("^97[89][0-9]{10}$") & (F.pmod(weighed(d, 13), F.lit(10)) == 0)
     ok10 = d.rlike("^[0-9]{9}[0-9X]$") & (F.pmod(sum10, F.lit(11)) == 0)
-    return F.when(varied & ok13, d).when(varied & ok10, F.concat(stem, check.cast("string")))
+    return F.when(varied & ~shop, F.when(ok13, d).when(ok10, F.concat(stem, check(stem))).when(d.rlike("^97[89][0-9]{9}$"), F.concat(d, check(d))))
+
+
+def anchors(parts: Column) -> Column:
+    """Twelve digits for each part of twenty words or more: a digest of its first and last fifty words."""
+    ws = F.filter(F.transform(parts, lambda p: F.filter(F.split(p, "[ \\t\\r\\n]+"), lambda w: w != "")), lambda w: F.size(w) >= 20)
+    return F.transform(ws, lambda w: F.substring(F.md5(F.concat(F.array_join(F.slice(w, F.lit(1), F.lit(50)), " "), F.lit("|"), F.array_join(F.slice(w, F.greatest(F.size(w) - 49, F.lit(1)), F.lit(50)), " "))), 1, 12))

@@ -63,12 +63,16 @@ def top(df: DataFrame, by: str, k: int) -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(k)
 
 
-def streaks(days: DataFrame, key: str, day: str) -> DataFrame:
-    """(key, longest, days): the longest run of consecutive days and the number of days."""
-    d = days.select(key, day).distinct()
-    run = F.date_sub(F.col(day), F.row_number().over(Window.partitionBy(key).orderBy(day)))
-    runs = d.withColumn("_r", run).groupBy(key, "_r").agg(F.count(F.lit(1)).alias("_n"))
-    return runs.groupBy(key).agg(F.max("_n").alias("longest"), F.sum("_n").alias("days"))
+def streaks(days: DataFrame, key: str, day: str, today: str, grace: int = 0) -> DataFrame:
+    """(key, longest, days, current): the days of the longest run, of all runs, and of the run that lasts until ``today``.
+
+    ``grace`` days may be left out between two days of a run.
+    """
+    w = Window.partitionBy(key).orderBy(day)
+    d = days.select(key, day).distinct().withColumn("_new", F.when(F.date_diff(day, F.lag(day).over(w)) <= grace + 1, 0).otherwise(1))
+    runs = d.withColumn("_r", F.sum("_new").over(w)).groupBy(key, "_r").agg(F.count(F.lit(1)).alias("_n"), F.max(day).alias("_last"))
+    lasts = F.date_diff(F.lit(today).cast("date"), F.col("_last")) <= grace
+    return runs.groupBy(key).agg(F.max("_n").alias("longest"), F.sum("_n").alias("days"), F.coalesce(F.max(F.when(lasts, F.col("_n"))), F.lit(0)).alias("current"))
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

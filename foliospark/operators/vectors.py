@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import words
+from foliospark.session import stage
+
+#: Queries that one task holds, and rows that it meets them with: what bounds its memory and the number of tasks.
+QUERIES, ROWS = 4_000, 100_000
 
 
 def terms(df: DataFrame, key: str, text: str, stop: list[str]) -> DataFrame:
@@ -14,9 +22,10 @@ def terms(df: DataFrame, key: str, text: str, stop: list[str]) -> DataFrame:
     return df.select(key, F.explode(kept).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def idf(counts: DataFrame, key: str, total: int) -> DataFrame:
-    """(term, df, idf) of ``terms`` over ``total`` texts."""
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(F.lit(float(total)) / F.col("df")))
+def idf(counts: DataFrame, key: str, texts: DataFrame) -> DataFrame:
+    """(term, df, idf) of ``terms``; the number of ``texts`` is a joined row, so no job runs while the plan is built."""
+    total = F.broadcast(texts.agg(F.count(F.lit(1)).cast("double").alias("_total")))  # one row
+    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(total).select("term", "df", F.log(F.col("_total") / F.col("df")).alias("idf"))
 
 
 def bucket(term: Column, dims: int) -> Column:
@@ -28,12 +37,14 @@ def bucket(term: Column, dims: int) -> Column:
 def hashed(df: DataFrame, key: str, text: str, stop: list[str], dims: int) -> DataFrame:
     """(key, dim, w): TF-IDF in ``dims`` hashed dimensions, each vector of length 1.
 
-    Each distinct term is hashed once.
+    Each distinct term is hashed once.  The counts are written once; a term
+    that most texts have is divided by AQE's skew join.
     """
-    counts = terms(df, key, text, stop)
-    weights = idf(counts, key, df.count()).select("term", "idf", bucket(F.col("term"), dims).alias("dim"))
-    tf = counts.withColumn("tf", F.col("n") / F.sum("n").over(Window.partitionBy(key)))
-    v = tf.join(weights, "term").groupBy(key, "dim").agg(F.sum(F.col("tf") * F.col("idf")).alias("w"))
+    counts = stage(terms(df, key, text, stop), "terms")
+    weights = idf(counts, key, df).select("term", "idf", bucket(F.col("term"), dims).alias("dim"))
+    total = counts.groupBy(key).agg(F.sum("n").alias("all"))
+    tf = counts.join(weights, "term").groupBy(key, "dim").agg(F.sum(F.col("n") * F.col("idf")).alias("s")).join(total, key)
+    v = tf.select(key, "dim", (F.col("s") / F.col("all")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return v.select(key, "dim", (F.col("w") / F.nullif(norm, F.lit(0.0))).alias("w"))
 
@@ -44,17 +55,44 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def _unit(s: pd.Series) -> np.ndarray:
+    m = np.stack([np.asarray(v, dtype="float64") for v in s])
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
 def nearest(df: DataFrame, key: str, vector: str, asked: Column, k: int) -> DataFrame:
     """(query_id, key, score): the ``k`` nearest rows by cosine of each row for which ``asked`` holds.
 
-    The queries are cut into blocks that meet all rows; within a block and a
-    slice of the rows the best ``k`` are kept before the slices merge.
+    Queries are cut into blocks and rows into slices, as many as the counts
+    ask for; every block meets every slice in one task, as a product of
+    matrices, and only its best ``k`` a query go on.  Vectors have one length;
+    null ones are near nothing; equal scores are in order of key.
     """
-    blocks, slices = 8, 32
-    q = df.filter(asked).select(F.col(key).alias("query_id"), F.col(vector).alias("qv"), F.pmod(F.hash(key), F.lit(blocks)).alias("block"))
-    rows = df.select(key, F.col(vector).alias("v"), F.pmod(F.hash(key, F.lit(3)), F.lit(slices)).alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    scored = rows.join(q, "block").filter(F.col(key) != F.col("query_id")).select("query_id", key, "slice", cosine(F.col("qv"), F.col("v")).alias("score"))
-    first = Window.partitionBy("query_id", "slice").orderBy(F.desc("score"), key)
+    there = df.filter(F.col(vector).isNotNull())
+    counts = there.agg(F.count(F.lit(1)).alias("n"), F.count_if(asked).alias("q")).first()
+    blocks, slices = max(1, -(-counts["q"] // QUERIES)), max(1, -(-counts["n"] // ROWS), min(df.sparkSession.sparkContext.defaultParallelism, counts["n"] // 1000))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = there.filter(asked).select(F.col(key).alias("query_id"), F.col(vector).alias("qv"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).withColumn("slice", spread(slices))
+    rows = there.select(key, F.col(vector).alias("v"), F.pmod(F.xxhash64(key, F.lit(3)), F.lit(slices)).alias("slice")).withColumn("block", spread(blocks))
+    kind = df.schema[key].dataType.simpleString()
+
+    def meet(asked_: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked_) or not len(known):
+            return pd.DataFrame({"query_id": [], key: [], "score": []})
+        known = known.sort_values(key)
+        ids, m = known[key].to_numpy(), _unit(known["v"])
+        out: list[tuple] = []
+        for start in range(0, len(asked_), 256):
+            part = asked_.iloc[start : start + 256]
+            scores = _unit(part["qv"]) @ m.T
+            for name, s in zip(part["query_id"], scores):
+                s = np.where(ids == name, -np.inf, s)
+                # all that reach the k-th best, so that ties are settled by key
+                best = np.flatnonzero(s >= np.partition(s, -min(k, len(s)))[-min(k, len(s))])
+                best = best[np.lexsort((ids[best], -s[best]))][:k]
+                out += [(name, ids[j], float(s[j])) for j in best if s[j] > -np.inf]
+        return pd.DataFrame(out, columns=["query_id", key, "score"])
+
+    found = q.groupBy("block", "slice").cogroup(rows.groupBy("block", "slice")).applyInPandas(meet, f"query_id {kind}, `{key}` {kind}, score double")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    some = scored.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k)
-    return some.withColumn("r", F.row_number().over(last)).filter(F.col("r") <= k).select("query_id", key, F.round("score", 5).alias("score"))
+    return found.withColumn("r", F.row_number().over(last)).filter(F.col("r") <= k).select("query_id", key, F.round("score", 5).alias("score"))

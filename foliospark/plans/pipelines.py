@@ -6,30 +6,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
+from foliospark.operators.sets import similar_sets
 from foliospark.plans.base import Tables, registrar
 
 QUERIES: dict = {}
 query = registrar(QUERIES)
 
 
-@query(r"""with w as (select id, title, isbn, list_distinct(regexp_extract_all(lower(title), '[a-zà-ÿ]{2,}')) as ws from books), k as (select id, unnest(ws) as w from w), c as (select w from k group by w having count(*) between 2 and 60),
-  p as (select distinct a.id as a, b.id as b from k a join k b on a.w = b.w and a.id < b.id where a.w in (select w from c)), s as (select p.a, p.b, x.isbn is not null and x.isbn <> '' and x.isbn = y.isbn as same, x.title = y.title as exact, len(list_intersect(x.ws, y.ws)) / len(list_distinct(list_concat(x.ws, y.ws))) as j from p join w x on x.id = p.a join w y on y.id = p.b),
-  z as (select a, b, case when exact then 50 when j > 0.7 then 35 when j > 0.5 then 20 else 0 end as t, case when same then 30 else 0 end as i from s) select a, b, t + i as score from z where t > 0 and t + i >= 40""")
+_strip = r"[0-9]+|#[0-9]+|vol[.]? *[0-9]+|book *[0-9]+|part *[0-9]+"
+
+
+@query(rf"""with au as (select book_id, list(distinct lower(trim(a.name))) as authors from books_authors ba join authors a on a.id = ba.author_id group by book_id),
+  w as (select b.id, title, isbn, page_count as n, lower(title) as low, list_distinct(regexp_extract_all(lower(title), '[a-zà-ÿ]{{2,}}')) as ws, authors, extra_metadata as form from books b left join au on au.book_id = b.id where title is not null),
+  p as (select x.id as a, y.id as b, x.title = y.title as exact, case when len(x.ws) = 0 or len(y.ws) = 0 then 0 else len(list_intersect(x.ws, y.ws)) / len(list_distinct(list_concat(x.ws, y.ws))) end as j, coalesce(x.isbn <> '' and x.isbn = y.isbn, false) as number, coalesce(len(list_intersect(x.authors, y.authors)) > 0, false) as author,
+    case when x.n > 0 and y.n > 0 then case when abs(x.n - y.n) / greatest(x.n, y.n)::double < 0.02e0 then 20 when abs(x.n - y.n) / greatest(x.n, y.n)::double < 0.1e0 then 10 else 0 end else 0 end as size,
+    trim(regexp_replace(x.low, '{_strip}', '', 'g')) as ba, trim(regexp_replace(y.low, '{_strip}', '', 'g')) as bb, x.form is distinct from y.form as other from w x join w y on x.id < y.id),
+  z as (select *, case when exact then 50 when j > 0.7e0 then 35 when j > 0.5e0 then 20 else 0 end as t, list_distinct(list_filter(string_split(ba, ' '), lambda v: v <> '')) as wa, list_distinct(list_filter(string_split(bb, ' '), lambda v: v <> '')) as wb from p where exact or j > 0.5e0),
+  q as (select *, t + case when author then 25 else 0 end + case when number then 30 else 0 end + size as score from z) select a, b, score, case when other then 'link' else 'merge' end as action from q
+  where score >= 40 and not (author and ba <> bb and len(list_intersect(wa, wb)) / greatest(len(list_distinct(list_concat(wa, wb))), 1) < 0.8e0 and not exact and not number)""")
 def duplicate_signals(t: Tables) -> DataFrame:
-    """Pairs of books scored by several signals.
+    """Pairs of books scored by title, author, number and size; volumes of a series are no duplicates, other forms are to be linked.
 
-    40 points take an equal title, or an equal number beside like titles: two equi-joins find every such pair.
+    Every pair that counts has equal titles or titles alike in more than half
+    their words: distinct sets of title words are joined by their rarest words,
+    and only then stand for their books.
     """
-    w = t.books.select("id", "title", "isbn", F.array_distinct(T.words(F.col("title"))).alias("ws"))
+    authors = t.books_authors.join(t.authors.select(F.col("id").alias("author_id"), F.lower(F.trim("name")).alias("name")), "author_id").groupBy(F.col("book_id").alias("id")).agg(F.collect_set("name").alias("authors"))
+    low = F.lower("title")
+    w = t.books.filter("title is not null").join(authors, "id", "left").select("id", "title", "isbn", F.col("page_count").alias("n"), "authors", F.col("extra_metadata").alias("form"), F.array_sort(F.array_distinct(T.words(F.col("title")))).alias("ws"), F.trim(F.regexp_replace(low, _strip, "")).alias("base"))
+    w = w.withColumn("key", F.array_join("ws", " "))
+    kinds = w.select("key", "ws").distinct()
+    near = similar_sets(kinds, "key", "ws", 0.5, strict=True)
     x, y = w.alias("x"), w.alias("y")
-    j = T.jaccard(F.col("x.ws"), F.col("y.ws"))
-    same = F.coalesce((F.col("x.isbn") != "") & (F.col("x.isbn") == F.col("y.isbn")), F.lit(False))
-    title = F.when(F.coalesce(F.col("x.title") == F.col("y.title"), F.lit(False)), 50).when(j > 0.7, 35).when(j > 0.5, 20).otherwise(0)
-    scored = lambda p: p.filter(F.col("x.id") < F.col("y.id")).filter(title > 0).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (title + F.when(same, 30).otherwise(0)).alias("score"))
-    by_title = scored(x.join(y, F.col("x.title") == F.col("y.title")))
-    # pairs of equal titles are in the other branch
-    by_number = scored(x.join(y, (F.col("x.isbn") == F.col("y.isbn")) & (F.col("x.isbn") != "") & ~F.col("x.title").eqNullSafe(F.col("y.title"))))
-    return by_title.unionByName(by_number).filter("score >= 40")
+    pairs = near.join(x, F.col("a") == F.col("x.key")).join(y, F.col("b") == F.col("y.key"))
+    # titles of one set of words, whatever their order; equal titles without such words
+    same = x.join(y, "key").filter(F.col("x.id") < F.col("y.id")).filter((F.col("key") != "") | (F.col("x.title") == F.col("y.title"))).withColumn("likeness", F.when(F.col("key") != "", 1.0).otherwise(0.0))
+
+    def scored(p: DataFrame) -> DataFrame:
+        exact = F.col("x.title") == F.col("y.title")
+        number = F.coalesce((F.col("x.isbn") != "") & (F.col("x.isbn") == F.col("y.isbn")), F.lit(False))
+        author = F.coalesce(F.arrays_overlap("x.authors", "y.authors"), F.lit(False))
+        off = F.abs(F.col("x.n") - F.col("y.n")) / F.greatest("x.n", "y.n")
+        size = F.when((F.col("x.n") > 0) & (F.col("y.n") > 0), F.when(off < 0.02, 20).when(off < 0.1, 10).otherwise(0)).otherwise(0)
+        title = F.when(exact, 50).when(F.col("likeness") > 0.7, 35).otherwise(20)
+        score = title + F.when(author, 25).otherwise(0) + F.when(number, 30).otherwise(0) + size
+        parts = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda v: v != ""))
+        union = F.greatest(F.size(F.array_union(parts("x.base"), parts("y.base"))), F.lit(1))
+        volumes = author & (F.col("x.base") != F.col("y.base")) & (F.size(F.array_intersect(parts("x.base"), parts("y.base"))) / union < 0.8) & ~exact & ~number
+        action = F.when(F.col("x.form").eqNullSafe(F.col("y.form")), "merge").otherwise("link")
+        return p.filter((score >= 40) & ~volumes).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), score.alias("score"), action.alias("action"))
+
+    return scored(pairs).unionByName(scored(same))
 
 
 @query("""with r as (select r.*, s.trust from metadata_records r join meta_sources s using (source)) select book_id, arg_max(title, (trust, fetched_at, record_id)) as title, arg_max(description, (length(description), record_id)) filter (where description is not null) as description,
@@ -78,12 +105,17 @@ def heatmap(t: Tables) -> DataFrame:
     return t.reading_log.groupBy(F.dayofweek("logged_at").cast("long").alias("weekday"), F.hour("logged_at").cast("long").alias("hour")).agg(F.count(F.lit(1)).alias("sessions"), F.count_distinct("user_id").alias("readers"))
 
 
-@query("""select id, case when isbn is not null and isbn <> '' then 10 else 0 end + case when description is not null and length(description) > 100 then 15 else 0 end + case when cover_path is not null and cover_path <> '' then 15 else 0 end + case when pubdate is not null then 10 else 0 end + case when page_count > 0 then 5 else 0 end as score from books""")
+@query("""with m as (select book_id, bool_or(language <> '') as language, bool_or(publisher <> '') as publisher, bool_or(len(tags) > 0) as genres, bool_or(series <> '') as series from metadata_records group by book_id) select b.id,
+  case when title <> '' and lower(title) not in ('unknown', 'untitled') then 10 else 0 end + 15 + case when cover_path <> '' then 15 else 0 end + case when length(description) > 20 then 15 else 0 end + case when isbn <> '' then 10 else 0 end + case when language then 5 else 0 end
+  + case when publisher then 5 else 0 end + case when pubdate is not null then 5 else 0 end + case when genres then 10 else 0 end + case when series then 10 else 0 end as score from books b left join m on m.book_id = b.id""")
 def quality_scores(t: Tables) -> DataFrame:
-    """Completeness of each book as a sum of parts."""
-    has = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
-    parts = [(has("isbn"), 10), (F.coalesce(F.length("description") > 100, F.lit(False)), 15), (has("cover_path"), 15), (F.col("pubdate").isNotNull(), 10), (F.coalesce(F.col("page_count") > 0, F.lit(False)), 5)]
-    return t.books.select("id", sum((F.when(c, v).otherwise(0) for c, v in parts), F.lit(0)).alias("score"))
+    """Completeness of each book from 0 to 100; the points for an author are always given."""
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    m = t.metadata_records.groupBy(F.col("book_id").alias("id")).agg(some(F.col("language") != "").alias("language"), some(F.col("publisher") != "").alias("publisher"), some(F.size("tags") > 0).alias("genres"), some(F.col("series") != "").alias("series"))
+    has = lambda c: F.col(c) != ""
+    # Points of each part.
+    parts = [(has("title") & ~F.lower("title").isin("unknown", "untitled"), 10), (F.lit(True), 15), (has("cover_path"), 15), (F.length("description") > 20, 15), (has("isbn"), 10), (F.col("language"), 5), (F.col("publisher"), 5), (F.col("pubdate").isNotNull(), 5), (F.col("genres"), 10), (F.col("series"), 10)]
+    return t.books.join(m, "id", "left").select("id", sum((F.when(c, v).otherwise(0) for c, v in parts), F.lit(0)).alias("score"))
 
 
 @query("""with h as (select record_id, book_id, fetched_at, title, lag(title) over (partition by book_id order by fetched_at, record_id) as before from metadata_records) select record_id, book_id, before, title as after from h where before is distinct from title and before is not null""")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: The query that ``entry`` runs.
 FLAGSHIP = "books_page"
 #: Modules with QUERIES {name: (query, sql or None)}.
-MODULES: list[str] = ["relational", "textual", "pipelines"]
+MODULES: list[str] = ["relational", "textual", "pipelines", "catalogue", "kernels", "likeness"]
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

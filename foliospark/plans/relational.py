@@ -73,6 +73,12 @@ def books_not_in_log(t: Tables) -> DataFrame:
     return R.not_in(t.books, "id", t.reading_log, "book_id").select("id")
 
 
+@query("""select id from books where id not in (select book_id from reading_log where book_id is not null and minutes > 10)""")
+def books_not_read_long(t: Tables) -> DataFrame:
+    """NOT IN with a list that has no nulls."""
+    return R.not_in(t.books, "id", t.reading_log.filter("book_id is not null and minutes > 10"), "book_id").select("id")
+
+
 @query("""select id from books b where quality_score > 90 or exists (select 1 from books_authors a where a.book_id = b.id and a.author_id in (select id from authors where name like 'A%'))""")
 def exists_or(t: Tables) -> DataFrame:
     """EXISTS under OR, as a flag from an outer join with a distinct key."""
@@ -103,8 +109,8 @@ def priority_lookup(t: Tables) -> DataFrame:
     return j.select("row_id", F.coalesce("i", "l").alias("book_id"), F.when(F.col("i").isNotNull(), "isbn").when(F.col("l").isNotNull(), "title").otherwise("none").alias("via"))
 
 
-@query("""with x as (select distinct record_id, unnest(tags) as tag from metadata_records), y as (select tag from x group by tag having count(*) between 2 and 40)
-  select a.record_id as a, b.record_id as b, count(*) as shared from x a join x b on a.tag = b.tag and a.record_id < b.record_id where a.tag in (select tag from y) group by 1, 2 having count(*) >= 2""")
+@query("""with x as (select distinct record_id, unnest(tags) as tag from metadata_records)
+  select a.record_id as a, b.record_id as b, count(*) as shared from x a join x b on a.tag = b.tag and a.record_id < b.record_id group by 1, 2 having count(*) >= 2""")
 def shared_tags(t: Tables) -> DataFrame:
     """Records that share at least two tags, however common these are.
 
@@ -143,10 +149,11 @@ def ordered_arrays(t: Tables) -> DataFrame:
     return t.metadata_records.groupBy("book_id").agg(F.array_join(F.transform(seq, lambda x: x["source"]), ",").alias("sources"), F.max_by("title", F.struct("fetched_at", "record_id")).alias("latest_title"))
 
 
-@query("""select book_id, count(*) filter (where source = 'open_shelves') as open_shelves, count(*) filter (where source = 'bookshop_feed') as bookshop_feed, count(*) filter (where source = 'reader_wiki') as reader_wiki from metadata_records group by book_id""")
+@query("""select book_id, source, count(*) as records, count(*) filter (where title <> '') as with_title, count(*) filter (where isbn <> '') as with_isbn, count(*) filter (where description <> '') as with_description, count(*) filter (where cover_image <> '') as with_cover from metadata_records group by 1, 2""")
 def source_matrix(t: Tables) -> DataFrame:
-    """Presence matrix by pivot with fixed columns."""
-    return t.metadata_records.groupBy("book_id").pivot("source", ["open_shelves", "bookshop_feed", "reader_wiki"]).agg(n()).fillna(0)
+    """Which source gave which field of each book, all sources, in long form."""
+    has = lambda c: F.count_if(F.col(c) != "")
+    return t.metadata_records.groupBy("book_id", "source").agg(n().alias("records"), has("title").alias("with_title"), has("isbn").alias("with_isbn"), has("description").alias("with_description"), has("cover_image").alias("with_cover"))
 
 
 @query("""select source, n, round(100.0 * n / sum(n) over (), 2) as pct from (select source, count(*) as n from documents group by source)""")
@@ -156,11 +163,20 @@ def share_of_total(t: Tables) -> DataFrame:
     return g.join(F.broadcast(g.agg(F.sum("n").alias("all")))).select("source", "n", F.round(100.0 * F.col("n") / F.col("all"), 2).alias("pct"))
 
 
-@query("""with d as (select distinct user_id, cast(logged_at as date) as day from reading_log where minutes > 0), g as (select user_id, day, day - cast(row_number() over (partition by user_id order by day) as integer) as grp from d),
-  s as (select user_id, grp, count(*) as len from g group by 1, 2) select user_id, max(len) as longest, cast(sum(len) as bigint) as days from s group by user_id""")
+_streak_sql = lambda grace: f"""with d as (select distinct user_id, cast(logged_at as date) as day from reading_log where minutes > 0 and logged_at < timestamp '2024-02-01'), g as (select *, case when day - lag(day) over (partition by user_id order by day) <= {grace + 1} then 0 else 1 end as new from d),
+  r as (select user_id, day, sum(new) over (partition by user_id order by day) as run from g), s as (select user_id, run, count(*) as len, max(day) as last from r group by 1, 2) select user_id, max(len) as longest, cast(sum(len) as bigint) as days, coalesce(max(len) filter (where date '2024-01-31' - last <= {grace}), 0) as current from s group by user_id"""
+
+
+@query(_streak_sql(0))
 def streaks(t: Tables) -> DataFrame:
-    """Longest run of days with reading: gaps and islands."""
-    return R.streaks(t.reading_log.filter("minutes > 0").select("user_id", F.to_date("logged_at").alias("day")), "user_id", "day")
+    """Longest and current run of days with reading: gaps and islands."""
+    return R.streaks(t.reading_log.filter("minutes > 0 and logged_at < timestamp_ntz '2024-02-01 00:00:00'").select("user_id", F.to_date("logged_at").alias("day")), "user_id", "day", "2024-01-31")
+
+
+@query(_streak_sql(1))
+def lenient_streaks(t: Tables) -> DataFrame:
+    """The same, a day left out now and then."""
+    return R.streaks(t.reading_log.filter("minutes > 0 and logged_at < timestamp_ntz '2024-02-01 00:00:00'").select("user_id", F.to_date("logged_at").alias("day")), "user_id", "day", "2024-01-31", grace=1)
 
 
 @query("""with s as (select series, cast(series_index as integer) as i from metadata_records where series is not null and series_index >= 1), m as (select series, max(i) as top from s group by series),

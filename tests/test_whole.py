@@ -20,17 +20,24 @@ def test_shared_tags_of_any_frequency(spark, tmp_path):
 
 
 def test_duplicate_signals_of_common_words_and_other_scripts(spark, tmp_path):
-    books = [(i, f"the history of {chr(97 + i // 26) * 2}{chr(97 + i % 26) * 2}", None) for i in range(70)]
-    books += [(100, "the history", ""), (101, "the history", ""), (102, "война и мир", None), (103, "война и мир", "1"), (104, "the history of aaaa", "2"), (105, "the history of aaaa of", "2"), (106, "of the history", "1"), (107, "война", "1"), (108, None, "2"), (109, None, "2")]
-    words = {i: {w for w in re.findall("[a-zà-ÿ]{2,}", (t or "").lower())} for i, t, _ in books}
+    books = [(i, f"the history of {chr(97 + i // 26) * 2}{chr(97 + i % 26) * 2}", None, 100 + i) for i in range(70)]
+    books += [(100, "the history", "", None), (101, "the history", "", 5), (102, "война и мир", None, 7), (103, "война и мир", "1", 7), (104, "the history of aaaa", "2", None), (105, "the history of aaaa of", "2", 9), (106, "of the history", "1", 3), (107, "война", "1", 3), (108, None, "2", 1), (109, None, "2", 1), (110, "history of the", "9", 3)]
+    by = {100: "Ann Ash", 106: "ann ash ", 1: "Bo", 2: "Bo", 110: "Cy"}
+    words = {i: {w for w in re.findall("[a-zà-ÿ]{2,}", (t or "").lower())} for i, t, _, _ in books}
     want = []
-    for (a, t, m), (b, u, n) in combinations(books, 2):
+    for (a, t, m, p), (b, u, k, q) in combinations(books, 2):
         j = len(words[a] & words[b]) / max(len(words[a] | words[b]), 1)
-        score = (50 if t and t == u else 35 if j > 0.7 else 20 if j > 0.5 else 0) or -99
-        score += 30 if m and m == n else 0
-        want += [(a, b, score)] if score >= 40 else []
-    assert {(100, 101, 50), (102, 103, 50), (104, 105, 65)} <= set(want)
-    assert _rows(spark, tmp_path, "duplicate_signals", books=(books, "id long, title string, isbn string")) == sorted(want)
+        title = 50 if t and t == u else 35 if j > 0.7 else 20 if j > 0.5 else 0
+        author = a in by and b in by and by[a].strip().lower() == by[b].strip().lower()
+        number = bool(m) and m == k
+        off = abs(p - q) / max(p, q) if p and q else 1
+        score = title + 25 * author + 30 * number + (20 if off < 0.02 else 10 if off < 0.1 else 0)
+        x, y = (set(c.split()) for c in (t or "", u or ""))
+        volumes = author and t != u and len(x & y) / max(len(x | y), 1) < 0.8 and not number
+        want += [(a, b, score, "merge")] if title and score >= 40 and not volumes else []
+    assert {(100, 101, 50, "merge"), (102, 103, 70, "merge"), (104, 105, 65, "merge")} <= set(want) and len(want) > 100
+    got = _rows(spark, tmp_path, "duplicate_signals", books=([(*x, "{}") for x in books], "id long, title string, isbn string, page_count int, extra_metadata string"), authors=([(v, v) for v in sorted(set(by.values()))], "id string, name string"), books_authors=(list(by.items()), "book_id long, author_id string"))
+    assert got == sorted(want)
 
 
 def test_close_names_with_slips_anywhere(spark, tmp_path):
