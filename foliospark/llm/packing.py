@@ -44,8 +44,13 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
         while left:
             room = max(rooms, default=-1)
             if room < length:
-                # new packs; several copies in a pack if nothing longer leaves room
-                put((length,), capacity - length, left)
+                # new packs, each with as many copies as fit
+                per = capacity // length
+                packs, rest = divmod(left, per)
+                if packs:
+                    put((length,) * per, capacity - per * length, packs)
+                if rest:
+                    put((length,) * rest, capacity - rest * length, 1)
                 break
             pattern, n = next(iter(by_room[room].items()))
             used = min(n, left)
