@@ -3,10 +3,9 @@
 P7_FOUND = r"""
 with recursive
 pair as (
-  select lower(trim(book_a_id)) as a, lower(trim(book_b_id)) as b from link_duplicates
-  where trim(coalesce(book_a_id, '')) <> '' and trim(coalesce(book_b_id, '')) <> ''
+  select lower(regexp_replace(book_a_id, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')) as a, lower(regexp_replace(book_b_id, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')) as b from link_duplicates
 ),
-edge as (select a, b from pair union select b, a from pair),
+edge as (select a, b from pair where a <> '' and b <> '' union select b, a from pair where a <> '' and b <> ''),
 reach(src, dst) as (select a, a from edge union select r.src, e.b from reach r join edge e on r.dst = e.a)
 select src as book_id, min(dst) as group_id from reach group by src
 """
