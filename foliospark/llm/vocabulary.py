@@ -154,6 +154,9 @@ def nearest(values: DataFrame, reference: DataFrame, shard: int = SHARD, chunks:
                     out.append((f, entry[g][0], g, s, entry[g][1]))
         return pd.DataFrame(out, columns=["form", "entry", "via", "edits", "weight"])
 
+    # as many partitions as there are pairs of shard and chunk: sized by bytes, they would be merged into one task
+    parts = shards * chunks
+    left, right = left.repartition(parts, "shard", "chunk"), right.repartition(parts, "shard", "chunk")
     found = left.groupBy("shard", "chunk").cogroup(right.groupBy("shard", "chunk")).applyInPandas(search, "form string, entry string, via string, edits int, weight double")
     rank = F.struct("edits", -F.col("weight"), "via")
     return found.groupBy("form").agg(F.min_by("entry", rank).alias("entry"), F.min("edits").alias("edits"))
@@ -167,10 +170,10 @@ def learn(items: DataFrame, known: DataFrame) -> DataFrame:
     form's own record lacks.  Pairs are counted of distinct forms and entries
     within a thing, never of records.
     """
-    direct = items.join(F.broadcast(known), "form")
+    direct = items.join(known, "form")  # Spark broadcasts the list only if it is small
     own = direct.groupBy("thing", "record").agg(F.collect_set("entry").alias("has"))
     of = direct.groupBy("thing", "entry").agg(F.countDistinct("record").alias("records"))
-    rest = items.join(F.broadcast(known.select("form")), "form", "left_anti").join(own, ["thing", "record"], "left")
+    rest = items.join(known.select("form"), "form", "left_anti").join(own, ["thing", "record"], "left")
     seen = rest.join(of, "thing").filter(~F.coalesce(F.array_contains("has", F.col("entry")), F.lit(False)))
     # once a thing: a form repeated in many records of one thing is one observation
     once = seen.select("thing", "form", "entry").distinct()
