@@ -119,6 +119,8 @@ def words_of(lines: DataFrame) -> DataFrame:
     one = t.select("file_id", "digital", "pos", parts.alias("parts"))
     one = one.select("file_id", "digital", "pos", F.posexplode(F.transform("parts", lambda x, i: F.struct(x["word"].alias("word"), x["hyphened"].alias("hyphened"), x["split"].alias("split"), F.when(i > 0, F.get("parts", i - 1)["word"]).alias("before")))).alias("i", "p"))
     one = one.select("file_id", "digital", "pos", "i", F.col("p.word").alias("raw"), _clean(F.col("p.word")).alias("word"), _clean(F.col("p.hyphened")).alias("hyphened"), "p.split", _clean(F.col("p.before")).alias("before"))
+    # written before it is counted and joined: else each line would be cut three times
+    one = stage(one, "cut-words")
     # a file is in the language most of whose function words it has
     has = lambda k: F.count_if(F.col("word").isin(FUNCTION_WORDS[k].split()))
     votes = one.groupBy("file_id").agg(F.array_max(F.array(*[F.struct(has(k).alias("n"), F.lit(k).alias("lang")) for k in sorted(FUNCTION_WORDS)]))["lang"].alias("lang"))
