@@ -22,9 +22,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_by_trust(spark: SparkSession, d: str) -> DataFrame:
-    """The values closest to the consensus in which each value weighs as much as the records that have it."""
-    values = survivors.candidates(table(spark, d, "metadata_records"))
-    return survivors.survive(values, ["book_id", "field_name"], ["weight", "grade", "size", "fetched_at", "record_id"], lexical=False).select("book_id", "field_name", "record_id", "value")
+    """The values closest to the consensus in which each value weighs as much as the trust of the sources that have it."""
+    values = survivors.candidates(table(spark, d, "metadata_records"), table(spark, d, "meta_sources"))
+    return survivors.survive(values, ["book_id", "field_name"], ["weight", "grade", "size", "fetched_at", "record_id"], ranked=False).select("book_id", "field_name", "record_id", "value")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
