@@ -38,6 +38,10 @@ r: г    s: ѕ    u: υ    v: ν    w: ԝ    x: х χ    y: у ү γ
 HYPHENS = "‐ ‑ ‒ – — ― − ­ ﹣ － ⁃ ˗"
 # Letters drawn like a digit in a number.
 DIGIT_SHAPES = {"I": "1", "l": "1", "O": "0", "o": "0"}
+# ASCII shapes of one look and their prototypes, which stand in skeletons only.
+PROTOTYPES = {"1": "l", "I": "l", "|": "l", "0": "O", "rn": "m", "vv": "w", "cl": "d"}
+#: A spelling is put right by its group only if the group's has so many times its rows.
+TIMES = 3
 #: Zero-width characters that the spelling of some language needs, with the scripts that need them.
 JOINERS = {"‌": ("ARABIC", "DEVANAGARI", "BENGALI", "SYRIAC"), "‍": ("DEVANAGARI", "BENGALI", "SINHALA", "MALAYALAM")}
 
@@ -90,7 +94,10 @@ def plain(text: str) -> str:
 def skeleton(text: str) -> str:
     """Decompose, replace each character by its prototype, decompose again."""
     d = unicodedata.normalize("NFD", plain(text))
-    return unicodedata.normalize("NFD", "".join(_TO_LATIN.get(c, c) for c in d))
+    latin = unicodedata.normalize("NFD", "".join(_TO_LATIN.get(c, c) for c in d))
+    for drawn, prototype in PROTOTYPES.items():
+        latin = latin.replace(drawn, prototype)
+    return latin
 
 
 def respell(text: str, main: str = "") -> str:
@@ -165,8 +172,10 @@ def skeletons(df: DataFrame, column: str, kind: str = "text") -> DataFrame:
 def unify(df: DataFrame, key: str, column: str, kind: str = "text") -> DataFrame:
     """(key, value, skeleton, usual, alike, altered): one consistent form of ``column`` for each row of ``df`` with a value.
 
-    Values are grouped by skeleton; ``usual`` is the spelling of the group in
-    usual characters (of spellings that differ in letter case, the row's own),
+    Values are grouped by skeleton and each spelling of a group, in usual
+    characters, has the votes of its rows; ``usual`` is the row's own spelling,
+    or that of the group if it has TIMES as many rows and differs in more than
+    letter case (of codes of digits always the row's own),
     ``alike`` the number of rows of the group, and ``altered`` whether the
     stored value differs from ``usual``.  A value that fills a large share of
     the rows is a hot key and is not shuffled.
@@ -175,8 +184,11 @@ def unify(df: DataFrame, key: str, column: str, kind: str = "text") -> DataFrame
     n = rows.count()
     counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     found = stage(skeletons(counts.select("value"), "value", kind).join(counts, "value"), "skeletons")
-    forms = found.groupBy("skeleton", F.lower("usual").alias("low")).agg(F.sum("n").alias("m"))
-    best = forms.groupBy("skeleton").agg(F.sum("m").alias("alike"))
-    one = found.join(best, "skeleton").select("value", "skeleton", "usual", "alike", (F.col("value") != F.col("usual")).alias("altered"), (F.col("n") > n // PARTS).alias("hot_r"))
+    # spellings of one skeleton that differ in more than letter case vote with their rows
+    forms = found.groupBy("skeleton", F.lower("usual").alias("low")).agg(F.sum("n").alias("m"), F.max_by("usual", F.struct("n", "usual")).alias("spelt"))
+    best = forms.groupBy("skeleton").agg(F.sum("m").alias("alike"), F.max("m").alias("most"), F.max_by("spelt", F.struct("m", "low")).alias("spelt"))
+    joined = found.withColumn("low", F.lower("usual")).join(forms.select("skeleton", "low", "m"), ["skeleton", "low"]).join(best, "skeleton")
+    usual = F.when((F.lit(kind) == "text") & (F.col("most") >= TIMES * F.col("m")) & (F.lower("spelt") != F.col("low")), F.col("spelt")).otherwise(F.col("usual"))
+    one = joined.select("value", "skeleton", usual.alias("usual"), "alike", (F.col("value") != usual).alias("altered"), (F.col("n") > n // PARTS).alias("hot_r"))
     hot = found.filter(F.col("n") > n // PARTS).select("value")
     return hot_join(flag_hot(rows, "value", hot, "hot_l"), one, "value", "hot_l", "hot_r").drop("hot_l").select(key, "value", "skeleton", "usual", "alike", "altered")
