@@ -35,7 +35,7 @@ SLOT = "|".join(
     [
         r"\{\{\s*[\w. ]{1,40}\s*\}\}", r"\$\{\s*[\w.]{1,40}\s*\}", r"<%=?\s*[\w. ]{1,40}\s*%>", r"\{%\s*[\w. ]{1,40}\s*%\}", r"\[\[\s*[\w. ]{1,40}\s*\]\]",
         r"<<\s*[\w. ]{1,40}\s*>>", r"(?i:\[(?:insert|your|enter)\s[^\]\n]{1,40}\])", r"(?i:\((?:insert|enter|your)\s[\w. ]{1,40}\))", r"(?i:\[[\w. ]{1,40}\shere\])", r"@@[\w.]{1,40}@@",
-        r"\b__[A-Za-z][\w.]{0,40}?__", r"\bXX[A-Za-z_.]{2,40}?XX\b", r"\$[A-Za-z][A-Za-z_.]{1,40}\$", r"%[A-Za-z][A-Za-z_.]{2,40}%", r"<[a-z]+(?:_[a-z]+)*>", r"\{[A-Za-z][\w.]{1,40}\}", r"#\{[\w.]{1,40}\}", r"\{\d{1,2}\}", r"\bTK(?: TK)*\b",
+        r"\b_{2,}[A-Za-z][\w.]{0,40}?__+", r"(?<![\w:]):[a-z]+_[a-z_]{1,40}\b", r"\bXX[A-Za-z_.]{2,40}?XX\b", r"\$[A-Za-z][A-Za-z_.]{1,40}\$", r"%[A-Za-z][A-Za-z_.]{2,40}%", r"<[a-z]+(?:_[a-z]+)*>", r"\{[A-Za-z][\w.]{1,40}\}", r"#\{[\w.]{1,40}\}", r"\{\d{1,2}\}", r"\bTK(?: TK)*\b",
         r"%[sd]\b", r"#(?:REF!|N/A|VALUE!|NAME\?|NULL!)", r"\[object Object\]",
     ]
 )
