@@ -26,7 +26,7 @@ def clippings(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.text(path, lineSep="==========").select(F.regexp_replace("value", "^[\\s\\x{FEFF}]+", "").alias("b")).filter("trim(b) <> ''")
     lines = blocks.select(F.split("b", "\r?\n").alias("l"), "b")
     head, meta = F.get("l", F.lit(0)), F.get("l", F.lit(1))
-    body = F.regexp_replace(F.array_join(F.slice("l", 3, 10_000), "\n"), r"^\s+|\s+$", "")
+    body = F.regexp_replace(F.array_join(F.slice("l", F.lit(3), F.greatest(F.size("l") - 2, F.lit(0))), "\n"), r"^\s+|\s+$", "")
     return lines.select(
         F.trim(F.regexp_replace(head, r"\s*\([^()]*\)\s*$", "")).alias("title"), F.nullif(F.regexp_extract(head, r"\(([^()]*)\)\s*$", 1), F.lit("")).alias("author"),
         F.lower(F.regexp_extract(meta, r"(?i)(highlight|note|bookmark)", 1)).alias("kind"), F.regexp_extract(meta, r"(?i)page (\d+)", 1).try_cast("int").alias("page"),
