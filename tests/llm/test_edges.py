@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.queries import queries
 
-NAMES = ["authors", "metadata_records", "goodreads_rows", "link_duplicates", "html_files", "documents", "subjects", "source_targets", "pack_sizes"]
+NAMES = ["authors", "metadata_records", "goodreads_rows", "link_duplicates", "html_files", "documents", "subjects", "source_targets", "pack_sizes", "meta_sources"]
 SMALL = "/root/testdata/sf0.001"
 
 
