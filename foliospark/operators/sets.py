@@ -2,32 +2,89 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.session import stage
+
+#: Cells in which items are counted, and in which keys are marked: the fixed size of what goes to the driver or is broadcast.
+CELLS = 1 << 18
+#: Bits of a set's parity sketch, in two whole numbers.
+BITS = 128
+
+
+def _counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(cell, n): how many items of a task's sets fall into each cell."""
+    n = np.zeros(CELLS, dtype=np.int64)
+    for p in parts:
+        some = [s for s in p["s"] if s is not None and len(s)]
+        if some:
+            n += np.bincount(np.concatenate(some) & (CELLS - 1), minlength=CELLS)
+    at = np.flatnonzero(n)
+    yield pd.DataFrame({"cell": at, "n": n[at]})
+
+
+def _sketched(rank: np.ndarray, threshold: float, strict: bool):
+    """A function of batches (k, s, ...) that gives (k, ..., m, p, q, heads): size, parity sketch and rarest items."""
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            p = p[[s is not None and len(s) > 0 for s in p["s"]]]
+            size, bits, heads = [], [], []
+            for s in p["s"]:
+                m = len(s)
+                # tolerance: products such as 0.8 * 5 must not fall above the whole number that they are
+                least = int(np.floor(m * threshold + 1e-9)) + 1 if strict else int(np.ceil(m * threshold - 1e-9))
+                order = np.lexsort((s, rank[s & (CELLS - 1)]))[: m - least + 1]
+                size.append(m)
+                heads.append((s[order] >> 32).astype(np.int32))
+                bits.append(np.packbits((np.bincount((s >> 20) & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)).view(np.int64))
+            pq = np.array(bits, dtype=np.int64).reshape(-1, 2)
+            yield p.drop(columns=["s"]).assign(m=np.array(size, dtype=np.int32), p=pq[:, 0], q=pq[:, 1], heads=heads)
+
+    return each
+
 
-def similar_sets(df: DataFrame, key: str, items: str, threshold: float, strict: bool = False) -> DataFrame:
+def similar_sets(df: DataFrame, key: str, items: str, threshold: float, strict: bool = False, same: list[str] | None = None) -> DataFrame:
     """(a, b, likeness): every two rows a < b whose arrays ``items`` have a Jaccard likeness of ``threshold`` or more (more only, if ``strict``).
 
-    Items are ordered by rarity.  Sets as like as that share one of their
-    rarest few, so only these are joined on, and no pair is lost however
-    common an item is; sizes prune before sets are compared.  Rows of equal
-    sets should be grouped first.  ``key`` is unique; null and empty sets are
-    like nothing.
+    Items are ordered by rarity, counted by cells of their hashes (any order
+    that all sets share loses no pair).  Sets as like as that share one of
+    their rarest few, so only these are joined on.  Where two meet, they are
+    dropped on the spot if too few items follow in either, or if their parity
+    sketches differ in more bits than their items may; only what is left is
+    shuffled, and compared in full.  Rows of equal sets should be grouped
+    first, or be equal in the columns ``same``: then the least key stands for
+    all of them.  ``key`` is unique; null and empty sets are like nothing.
     """
-    sets = df.select(F.col(key).alias("k"), F.transform(F.array_distinct(items), lambda x: F.xxhash64(x)).alias("s")).filter(F.size("s") > 0)
-    one = sets.select("k", F.explode("s").alias("h"))
-    count = one.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    ranked = one.join(count, "h").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("r"))
-    size = F.size("r")
-    # tolerance: products such as 0.8 * 5 must not fall above the whole number that they are
-    least = F.floor(size * threshold + 1e-9) + 1 if strict else F.ceil(size * threshold - 1e-9)
-    head = ranked.select("k", size.alias("m"), F.explode(F.slice(F.filter("r", lambda x: x["n"] > 0), F.lit(1), (size - least + 1).cast("int"))).alias("x")).filter("x.n > 1").select("k", "m", F.col("x.h").alias("h"))
+    spark, same = df.sparkSession, same or []
+    hashes = F.transform(F.array_distinct(items), lambda x: F.xxhash64(x)).alias("s")
+    counts = df.select(hashes).mapInPandas(_counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
+    rank = np.zeros(CELLS, dtype=np.uint16)
+    rank[counts["cell"].to_numpy()] = np.rint(16 * np.log2(np.maximum(counts["n"].to_numpy(), 1))).astype(np.uint16)
+    k = df.schema[key].dataType.simpleString()
+    ids = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in same)
+    sketches = df.select(F.col(key).alias("k"), *same, hashes).mapInPandas(_sketched(rank, threshold, strict), f"k {k}, {ids}m int, p long, q long, heads array<int>")
+    if same:
+        sketches = sketches.groupBy(*same).agg(F.min_by(F.struct("k", "m", "p", "q", "heads"), "k").alias("x")).select("x.*")
+    head = stage(sketches, "sketches").select("k", "m", "p", "q", F.posexplode("heads").alias("i", "h"))
     x, y = head.alias("x"), head.alias("y")
-    near = (F.least("x.m", "y.m") >= F.greatest("x.m", "y.m") * threshold - 1e-9) & (F.col("x.k") < F.col("y.k"))
-    met = x.join(y, "h").filter(near).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+    both = F.col("x.m") + F.col("y.m")
+    apart = F.bit_count(F.col("x.p").bitwiseXOR(F.col("y.p"))) + F.bit_count(F.col("x.q").bitwiseXOR(F.col("y.q")))
+    # if this is the first item in common, so many may be at most
+    rest = F.least(F.col("x.m") - F.col("x.i"), F.col("y.m") - F.col("y.i"))
+    near = (apart <= both * ((1 - threshold) / (1 + threshold)) + 1e-9) & (rest >= both * (threshold / (1 + threshold)) - 1e-9) & (F.col("x.k") < F.col("y.k"))
+    met = stage(x.join(y, F.col("x.h") == F.col("y.h")).filter(near).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct(), "met")
+    # only the sets that met are built again: cells of keys, at most CELLS of them, keep the others from being shuffled
+    cell = lambda c: F.xxhash64(c).bitwiseAND(CELLS - 1)
+    marked = met.select(F.explode(F.array(cell("a"), cell("b"))).alias("cell")).distinct()
+    sets = df.join(F.broadcast(marked), cell(F.col(key)) == F.col("cell"), "left_semi").select(F.col(key).alias("k"), hashes)
     full = met.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    likeness = both / (F.size("sa") + F.size("sb") - both)
+    shared = F.size(F.array_intersect("sa", "sb"))
+    likeness = shared / (F.size("sa") + F.size("sb") - shared)
     out = full.select("a", "b", likeness.alias("likeness"))
     return out.filter(F.col("likeness") > threshold + 1e-9 if strict else F.col("likeness") >= threshold - 1e-9)
