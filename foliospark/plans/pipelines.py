@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 from foliospark.operators.sets import similar_sets
+from foliospark.operators.skew import flag_hot, hot_keys
 from foliospark.plans.base import Tables, registrar
+from foliospark.session import stage
 
 QUERIES: dict = {}
 query = registrar(QUERIES)
+#: Most read books whose pairs give the first bound of read_together.
+BEST = 200
 
 
 _strip = r"[0-9]+|#[0-9]+|vol[.]? *[0-9]+|book *[0-9]+|part *[0-9]+"
@@ -85,11 +89,36 @@ def taste(t: Tables) -> DataFrame:
 @query("""with s as (select distinct user_id, book_id from reading_log where book_id is not null), p as (select book_id from s group by 1 having count(*) >= 2) select a.book_id as a, b.book_id as b, count(*) as readers from s a join s b on a.user_id = b.user_id and a.book_id < b.book_id
   where a.book_id in (select book_id from p) and b.book_id in (select book_id from p) group by 1, 2 having count(*) >= 3 order by readers desc, a, b limit 100""")
 def read_together(t: Tables) -> DataFrame:
-    """The books most often read by the same readers."""
-    s = t.reading_log.filter("book_id is not null").select("user_id", "book_id").distinct()
-    s = s.join(s.groupBy("book_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("book_id"), "book_id")
-    p = s.alias("x").join(s.alias("y"), "user_id").filter("x.book_id < y.book_id").groupBy(F.col("x.book_id").alias("a"), F.col("y.book_id").alias("b")).agg(F.count(F.lit(1)).alias("readers"))
-    return p.filter("readers >= 3").orderBy(F.desc("readers"), "a", "b").limit(100)
+    """The books most often read by the same readers.
+
+    The hundredth best pair of the most read books is a bound that the result
+    cannot fall below: books of fewer readers are in no pair of it.  The fewer
+    than PARTS readers with very many of the other books are not paired by
+    their books, but counted where two books meet.
+    """
+    s = stage(t.reading_log.filter("book_id is not null and user_id is not null").select("user_id", "book_id").distinct(), "read")
+
+    def paired(x: DataFrame) -> DataFrame:
+        return x.alias("x").join(x.alias("y"), "user_id").filter("x.book_id < y.book_id").groupBy(F.col("x.book_id").alias("a"), F.col("y.book_id").alias("b")).agg(F.count(F.lit(1)).alias("readers"))
+
+    size = s.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
+    first = paired(s.join(F.broadcast(size.orderBy(F.desc("n"), "book_id").limit(BEST)), "book_id")).orderBy(F.desc("readers")).limit(100).agg(F.min("readers"), F.count(F.lit(1))).first()
+    least = max(3, first[0]) if first[1] == 100 else 3
+    s = stage(s.join(size.filter(F.col("n") >= least).select("book_id"), "book_id"), "read-enough")
+    hot = hot_keys(s, "user_id", s.count())
+    s = stage(flag_hot(s, "user_id", hot, "hot"), "read-hot")
+    pairs = paired(s.filter("not hot"))
+    warm = s.filter("hot").select("user_id", "book_id")
+    by = warm.groupBy("book_id").agg(F.collect_list("user_id").alias("us"))
+    # of books that only hot readers share, two have one in common besides the least - 1 with most books of each
+    rank = F.broadcast(warm.groupBy("user_id").agg(F.count(F.lit(1)).alias("books")))
+    order = Window.partitionBy("book_id").orderBy(F.desc("books"), "user_id")
+    only = paired(warm.join(rank, "user_id").withColumn("i", F.row_number().over(order)).filter(F.col("i") >= least).select("user_id", "book_id")).select("a", "b", F.lit(0).cast("long").alias("readers"))
+    every = pairs.unionByName(only).groupBy("a", "b").agg(F.sum("readers").alias("readers"))
+    side = lambda k: by.select(F.col("book_id").alias(k), F.col("us").alias(f"u{k}"))
+    also = F.coalesce(F.size(F.array_intersect("ua", "ub")), F.lit(0))
+    p = every.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", (F.col("readers") + F.when(F.col("ua").isNotNull() & F.col("ub").isNotNull(), also).otherwise(0)).alias("readers"))
+    return p.filter(F.col("readers") >= least).orderBy(F.desc("readers"), "a", "b").limit(100)
 
 
 @query("""select user_id, year(logged_at) as year, count(distinct book_id) as books, cast(sum(minutes) as bigint) as minutes, count(distinct cast(logged_at as date)) as days, cast(sum(pages_read) filter (where pages_read > 0) as bigint) as pages from reading_log where minutes between 1 and 600 group by 1, 2""")
