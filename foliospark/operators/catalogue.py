@@ -111,14 +111,19 @@ def owned(rows: DataFrame, books: DataFrame) -> DataFrame:
     one = b.filter("isbn <> ''").groupBy("isbn").agg(F.min("id").alias("one"))
     two = b.groupBy("t").agg(F.min("id").alias("two"))
     found = q.join(one, "isbn", "left").join(two, "t", "left")
-    tokens = b.select("id", F.explode("bw").alias("token"))
+    # a word sets one of 64 bits: each bit of a row that a book lacks is a word at least that it lacks
+    bits = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(x).bitwiseAND(63).cast("int"))))
+    # of books of the same words only the least can be the answer, and rows that are found need none
+    kinds = b.groupBy(F.array_sort("bw").alias("bw")).agg(F.min("id").alias("id"))
+    tokens = kinds.select("id", bits("bw").alias("bbits"), F.explode("bw").alias("token"))
     count = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # words that no book has come first: they count as rarest and join to nothing
-    mine = q.filter("size(w) > 0").select("row_id", F.size("w").alias("k"), F.explode("w").alias("token")).join(count, "token", "left")
-    ranked = mine.groupBy("row_id", "k").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("s"))
+    mine = found.filter("one is null and two is null and size(w) > 0").select("row_id", F.size("w").alias("k"), bits("w").alias("bits"), F.explode("w").alias("token")).join(count, "token", "left")
+    ranked = mine.groupBy("row_id", "k", "bits").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("s"))
     need = F.floor(F.col("k") * F.lit(0.6)).cast("int") + 1
-    some = ranked.select("row_id", F.explode(F.transform(F.slice("s", F.lit(1), F.col("k") - need + 1), lambda x: x["token"])).alias("token"))
-    pairs = some.join(tokens, "token").select("row_id", "id").distinct()
-    three = pairs.join(q.select("row_id", "w"), "row_id").join(b.select("id", "bw"), "id").filter(F.size(F.array_intersect("w", "bw")) > F.size("w") * F.lit(0.6)).groupBy("row_id").agg(F.min("id").alias("three"))
+    some = ranked.select("row_id", "k", "bits", F.explode(F.transform(F.slice("s", F.lit(1), F.col("k") - need + 1), lambda x: x["token"])).alias("token"))
+    lacked = F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not("bbits")))
+    pairs = some.join(tokens, "token").filter(F.col("k") - lacked > F.col("k") * F.lit(0.6)).select("row_id", "id").distinct()
+    three = pairs.join(q.select("row_id", "w"), "row_id").join(kinds, "id").filter(F.size(F.array_intersect("w", "bw")) > F.size("w") * F.lit(0.6)).groupBy("row_id").agg(F.min("id").alias("three"))
     all_ = found.join(three, "row_id", "left")
     return all_.select("row_id", F.coalesce("one", "two", "three").alias("book_id"), F.when(F.col("one").isNotNull(), 1).when(F.col("two").isNotNull(), 2).when(F.col("three").isNotNull(), 3).otherwise(0).alias("tier"))
