@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,62 @@ def _sketched(rank: np.ndarray, threshold: float, strict: bool):
     return each
 
 
+def _ranked(spark_df: DataFrame) -> np.ndarray:
+    """The logarithm of how often the items ``s`` of each cell stand in ``spark_df``."""
+    counts = spark_df.select("s").mapInPandas(_counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
+    rank = np.zeros(CELLS, dtype=np.uint16)
+    rank[counts["cell"].to_numpy()] = np.rint(16 * np.log2(np.maximum(counts["n"].to_numpy(), 1))).astype(np.uint16)
+    return rank
+
+
+def _ordered(rank: np.ndarray):
+    """A function of Arrow batches that puts the items ``s`` of each row, none of them empty, in order of rarity and adds their parity sketch ``p``."""
+
+    def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            if not batch.num_rows:
+                continue
+            at = batch.schema.get_field_index("s")
+            size = batch.column(at).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            items = batch.column(at).flatten().to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(size)])
+            items = items[np.lexsort((items, rank[items & (CELLS - 1)], np.repeat(np.arange(len(size)), size)))]
+            bits = np.bitwise_xor.reduceat(np.left_shift(np.int64(1), (items >> 20) & 63), starts[:-1])
+            columns = [*batch.columns, pa.array(bits)]
+            columns[at] = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(items))
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "p"])
+
+    return each
+
+
+def similar_small_sets(df: DataFrame, key: str, items: str, threshold: float, strict: bool = False) -> DataFrame:
+    """(x, y, likeness): every two rows of ``df`` as structs whose few ``items`` have a Jaccard likeness of ``threshold`` or more (more only, if ``strict``).
+
+    As ``similar_sets``, but each row goes with its whole set and all its
+    columns to the rows that have one of its rarest items, so two are compared
+    where they meet, at the first item that they have in common: no pair is
+    ever shuffled.  x has the lesser ``key``; rows of one key are not compared,
+    nor are null and empty sets.
+    """
+    # fixed, as joining few bytes takes long: sized by bytes, few tasks would have all the pairs
+    parts = 8 * df.sparkSession.sparkContext.defaultParallelism
+    rows = df.withColumn("s", F.transform(F.array_distinct(items), lambda x: F.xxhash64(x))).filter(F.size("s") > 0)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    ordered = stage(rows.mapInArrow(_ordered(_ranked(rows)), ", ".join(f"`{c}` {k}" for c, k in {**kinds, "p": "bigint"}.items())), "ordered")
+    m = F.size("s")
+    # tolerance: products such as 0.8 * 5 must not fall above the whole number that they are
+    least = F.floor(m * threshold + 1e-9) + 1 if strict else F.ceil(m * threshold - 1e-9)
+    head = ordered.select(F.struct(*df.columns).alias("v"), F.col(key).alias("k"), "s", "p", m.alias("m"), F.posexplode(F.slice("s", F.lit(1), (m - least + 1).cast("int"))).alias("i", "h")).repartition(parts, "h")
+    x, y = head.alias("x"), head.alias("y")
+    both = F.col("x.m") + F.col("y.m")
+    rest = F.least(F.col("x.m") - F.col("x.i"), F.col("y.m") - F.col("y.i"))
+    near = (F.col("x.k") < F.col("y.k")) & (F.bit_count(F.col("x.p").bitwiseXOR(F.col("y.p"))) <= both * ((1 - threshold) / (1 + threshold)) + 1e-9) & (rest >= both * (threshold / (1 + threshold)) - 1e-9)
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & near).select(F.col("x.v").alias("x"), F.col("y.v").alias("y"), F.col("x.h").alias("h"), both.alias("both"), F.array_intersect("x.s", "y.s").alias("common"))
+    likeness = F.size("common") / (F.col("both") - F.size("common"))
+    met = met.filter(F.get("common", F.lit(0)) == F.col("h")).select("x", "y", likeness.alias("likeness"))
+    return met.filter(F.col("likeness") > threshold + 1e-9 if strict else F.col("likeness") >= threshold - 1e-9)
+
+
 def similar_sets(df: DataFrame, key: str, items: str, threshold: float, strict: bool = False, same: list[str] | None = None) -> DataFrame:
     """(a, b, likeness): every two rows a < b whose arrays ``items`` have a Jaccard likeness of ``threshold`` or more (more only, if ``strict``).
 
@@ -61,11 +118,9 @@ def similar_sets(df: DataFrame, key: str, items: str, threshold: float, strict:
     first, or be equal in the columns ``same``: then the least key stands for
     all of them.  ``key`` is unique; null and empty sets are like nothing.
     """
-    spark, same = df.sparkSession, same or []
+    same = same or []
     hashes = F.transform(F.array_distinct(items), lambda x: F.xxhash64(x)).alias("s")
-    counts = df.select(hashes).mapInPandas(_counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
-    rank = np.zeros(CELLS, dtype=np.uint16)
-    rank[counts["cell"].to_numpy()] = np.rint(16 * np.log2(np.maximum(counts["n"].to_numpy(), 1))).astype(np.uint16)
+    rank = _ranked(df.select(hashes))
     k = df.schema[key].dataType.simpleString()
     ids = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in same)
     sketches = df.select(F.col(key).alias("k"), *same, hashes).mapInPandas(_sketched(rank, threshold, strict), f"k {k}, {ids}m int, p long, q long, heads array<int>")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.operators.sets import similar_sets
+from foliospark.operators.sets import similar_small_sets
 from foliospark.operators.skew import flag_hot, hot_keys
 from foliospark.plans.base import Tables, registrar
 from foliospark.session import stage
@@ -15,6 +15,8 @@ QUERIES: dict = {}
 query = registrar(QUERIES)
 #: Most read books whose pairs give the first bound of read_together.
 BEST = 200
+#: Books of one set of title words that go together to the sets like it.
+PIECE = 64
 
 
 _strip = r"[0-9]+|#[0-9]+|vol[.]? *[0-9]+|book *[0-9]+|part *[0-9]+"
@@ -32,35 +34,40 @@ def duplicate_signals(t: Tables) -> DataFrame:
     """Pairs of books scored by title, author, number and size; volumes of a series are no duplicates, other forms are to be linked.
 
     Every pair that counts has equal titles or titles alike in more than half
-    their words: distinct sets of title words are joined by their rarest words,
-    and only then stand for their books.
+    their words: distinct sets of title words, each with its books in pieces of
+    PIECE, are joined by their rarest words, and their books scored where they
+    meet.  Titles of one set of words are joined by it, those without words by
+    themselves.
     """
-    authors = t.books_authors.join(t.authors.select(F.col("id").alias("author_id"), F.lower(F.trim("name")).alias("name")), "author_id").groupBy(F.col("book_id").alias("id")).agg(F.collect_set("name").alias("authors"))
-    low = F.lower("title")
-    w = t.books.filter("title is not null").join(authors, "id", "left").select("id", "title", "isbn", F.col("page_count").alias("n"), "authors", F.col("extra_metadata").alias("form"), F.array_sort(F.array_distinct(T.words(F.col("title")))).alias("ws"), F.trim(F.regexp_replace(low, _strip, "")).alias("base"))
-    w = w.withColumn("key", F.array_join("ws", " "))
-    kinds = w.select("key", "ws").distinct()
-    near = similar_sets(kinds, "key", "ws", 0.5, strict=True)
-    x, y = w.alias("x"), w.alias("y")
-    pairs = near.join(x, F.col("a") == F.col("x.key")).join(y, F.col("b") == F.col("y.key"))
-    # titles of one set of words, whatever their order; equal titles without such words
-    same = x.join(y, "key").filter(F.col("x.id") < F.col("y.id")).filter((F.col("key") != "") | (F.col("x.title") == F.col("y.title"))).withColumn("likeness", F.when(F.col("key") != "", 1.0).otherwise(0.0))
-
-    def scored(p: DataFrame) -> DataFrame:
-        exact = F.col("x.title") == F.col("y.title")
-        number = F.coalesce((F.col("x.isbn") != "") & (F.col("x.isbn") == F.col("y.isbn")), F.lit(False))
+    authors = t.books_authors.join(t.authors.select(F.col("id").alias("author_id"), F.lower(F.trim("name")).alias("name")), "author_id").groupBy(F.col("book_id").alias("id")).agg(F.collect_set(F.xxhash64("name")).alias("authors"))
+    base = F.trim(F.regexp_replace(F.lower("title"), _strip, ""))
+    parts = F.array_distinct(F.transform(F.filter(F.split(base, " "), lambda v: v != ""), lambda v: F.xxhash64(v)))
+    w = t.books.filter("title is not null").join(authors, "id", "left").select(
+        "id", "title", F.array_sort(F.array_distinct(T.words(F.col("title")))).alias("ws"), F.when(F.col("isbn") != "", F.xxhash64("isbn")).alias("isbn"), F.col("page_count").alias("n"), "authors", F.when(F.col("extra_metadata").isNotNull(), F.xxhash64("extra_metadata")).alias("form"), F.xxhash64(base).alias("base"), parts.alias("parts")
+    )
+    w = stage(w.withColumn("key", F.when(F.size("ws") > 0, F.array_join("ws", " ")).otherwise(F.concat(F.lit("="), "title"))), "titles")
+
+    def scored(p: DataFrame, exact: Column, likeness: Column) -> DataFrame:
+        number = F.coalesce(F.col("x.isbn") == F.col("y.isbn"), F.lit(False))
         author = F.coalesce(F.arrays_overlap("x.authors", "y.authors"), F.lit(False))
         off = F.abs(F.col("x.n") - F.col("y.n")) / F.greatest("x.n", "y.n")
         size = F.when((F.col("x.n") > 0) & (F.col("y.n") > 0), F.when(off < 0.02, 20).when(off < 0.1, 10).otherwise(0)).otherwise(0)
-        title = F.when(exact, 50).when(F.col("likeness") > 0.7, 35).otherwise(20)
+        title = F.when(exact, 50).when(likeness > 0.7, 35).otherwise(20)
         score = title + F.when(author, 25).otherwise(0) + F.when(number, 30).otherwise(0) + size
-        parts = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda v: v != ""))
-        union = F.greatest(F.size(F.array_union(parts("x.base"), parts("y.base"))), F.lit(1))
-        volumes = author & (F.col("x.base") != F.col("y.base")) & (F.size(F.array_intersect(parts("x.base"), parts("y.base"))) / union < 0.8) & ~exact & ~number
+        union = F.greatest(F.size(F.array_union("x.parts", "y.parts")), F.lit(1))
+        volumes = author & (F.col("x.base") != F.col("y.base")) & (F.size(F.array_intersect("x.parts", "y.parts")) / union < 0.8) & ~exact & ~number
         action = F.when(F.col("x.form").eqNullSafe(F.col("y.form")), "merge").otherwise("link")
         return p.filter((score >= 40) & ~volumes).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), score.alias("score"), action.alias("action"))
 
-    return scored(pairs).unionByName(scored(same))
+    said = ["id", "isbn", "n", "authors", "form", "base", "parts"]
+    counts = w.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("pieces"))
+    kinds = w.filter(F.size("ws") > 0).join(counts, "key").groupBy("key", F.pmod(F.xxhash64("id"), "pieces").alias("piece")).agg(F.first("ws").alias("ws"), F.collect_list(F.struct(*said)).alias("books"))
+    near = similar_small_sets(kinds, "key", "ws", 0.5, strict=True)
+    near = near.select(F.explode("x.books").alias("x"), F.col("y.books").alias("ys"), "likeness").select("x", F.explode("ys").alias("y"), "likeness")
+    w = w.drop("ws").repartition(8 * w.sparkSession.sparkContext.defaultParallelism, "key")
+    x, y = w.alias("x"), w.alias("y")
+    same = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
+    return scored(near, F.lit(False), F.col("likeness")).unionByName(scored(same, F.col("x.title") == F.col("y.title"), F.lit(1.0)))
 
 
 @query("""with r as (select r.*, s.trust from metadata_records r join meta_sources s using (source)) select book_id, arg_max(title, (trust, fetched_at, record_id)) as title, arg_max(description, (length(description), record_id)) filter (where description is not null) as description,

@@ -40,6 +40,19 @@ def test_duplicate_signals_of_common_words_and_other_scripts(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_duplicate_signals_joins_nothing_to_its_pairs(spark, tmp_path):
+    books = [(i, f"the history of {w}", None, 100, None) for i, w in enumerate(["aa", "bb", "aa bb", "bb aa", "war", "война"] * 70)]
+    for name, (data, schema) in {"books": (books, "id long, title string, isbn string, page_count int, extra_metadata string"), "authors": ([("v", "v")], "id string, name string"), "books_authors": ([(1, "v")], "book_id long, author_id string")}.items():
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    df = registry.queries()["duplicate_signals"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    # one join for titles alike and one for titles of equal words; a join above either would shuffle the pairs
+    assert len(re.findall(r"\w+Join ", plan)) == 2 and "Aggregate" not in plan
+    words = [set(re.findall("[a-zà-ÿ]{2,}", b[1])) for b in books]
+    want = sum(len(words[a] & words[b]) / len(words[a] | words[b]) > 0.5 for a, b in combinations(range(len(books)), 2))
+    assert df.count() == want > 64 * 64
+
+
 def test_close_names_with_slips_anywhere(spark, tmp_path):
     base = "Ann Ferigegate"
     names = {base, base.upper(), "Xnn Ferigegate", "nAn Ferigegate", "n Ferigegate", "Ann Ferigega", "AnnX Ferixegate", "XXAnn Ferigegate", "Ann Feriggeate", "Ann XXFerigegate", "An Ferigegat", "Bob Zu", "Ann Xerigegxtex"}
