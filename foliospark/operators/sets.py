@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.session import stage
+from foliospark.session import spread, stage
 
 #: Cells in which items are counted, and in which keys are marked: the fixed size of what goes to the driver or is broadcast.
 CELLS = 1 << 18
@@ -87,15 +87,13 @@ def similar_small_sets(df: DataFrame, key: str, items: str, threshold: float, st
     ever shuffled.  x has the lesser ``key``; rows of one key are not compared,
     nor are null and empty sets.
     """
-    # fixed, as joining few bytes takes long: sized by bytes, few tasks would have all the pairs
-    parts = 8 * df.sparkSession.sparkContext.defaultParallelism
     rows = df.withColumn("s", F.transform(F.array_distinct(items), lambda x: F.xxhash64(x))).filter(F.size("s") > 0)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     ordered = stage(rows.mapInArrow(_ordered(_ranked(rows)), ", ".join(f"`{c}` {k}" for c, k in {**kinds, "p": "bigint"}.items())), "ordered")
     m = F.size("s")
     # tolerance: products such as 0.8 * 5 must not fall above the whole number that they are
     least = F.floor(m * threshold + 1e-9) + 1 if strict else F.ceil(m * threshold - 1e-9)
-    head = ordered.select(F.struct(*df.columns).alias("v"), F.col(key).alias("k"), "s", "p", m.alias("m"), F.posexplode(F.slice("s", F.lit(1), (m - least + 1).cast("int"))).alias("i", "h")).repartition(parts, "h")
+    head = ordered.select(F.struct(*df.columns).alias("v"), F.col(key).alias("k"), "s", "p", m.alias("m"), F.posexplode(F.slice("s", F.lit(1), (m - least + 1).cast("int"))).alias("i", "h")).repartition(spread(df.sparkSession), "h")
     x, y = head.alias("x"), head.alias("y")
     both = F.col("x.m") + F.col("y.m")
     rest = F.least(F.col("x.m") - F.col("x.i"), F.col("y.m") - F.col("y.i"))

@@ -9,7 +9,7 @@ from foliospark.functions import text as T
 from foliospark.operators.sets import similar_small_sets
 from foliospark.operators.skew import flag_hot, hot_keys
 from foliospark.plans.base import Tables, registrar
-from foliospark.session import stage
+from foliospark.session import spread, stage
 
 QUERIES: dict = {}
 query = registrar(QUERIES)
@@ -64,7 +64,7 @@ def duplicate_signals(t: Tables) -> DataFrame:
     kinds = w.filter(F.size("ws") > 0).join(counts, "key").groupBy("key", F.pmod(F.xxhash64("id"), "pieces").alias("piece")).agg(F.first("ws").alias("ws"), F.collect_list(F.struct(*said)).alias("books"))
     near = similar_small_sets(kinds, "key", "ws", 0.5, strict=True)
     near = near.select(F.explode("x.books").alias("x"), F.col("y.books").alias("ys"), "likeness").select("x", F.explode("ys").alias("y"), "likeness")
-    w = w.drop("ws").repartition(8 * w.sparkSession.sparkContext.defaultParallelism, "key")
+    w = w.drop("ws").repartition(spread(w.sparkSession), "key")
     x, y = w.alias("x"), w.alias("y")
     same = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
     return scored(near, F.lit(False), F.col("likeness")).unionByName(scored(same, F.col("x.title") == F.col("y.title"), F.lit(1.0)))
