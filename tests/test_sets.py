@@ -34,3 +34,25 @@ def test_unlike_sets_that_meet_are_not_shuffled(spark, monkeypatch):
 def test_rows_of_one_set_stand_for_one(spark):
     df = spark.createDataFrame([(3, "x", ["a", "b"]), (1, "x", ["a", "b"]), (2, "y", ["b", "a"])], "k long, t string, s array<string>")
     assert [(r.a, r.b, r.likeness) for r in similar_sets(df, "k", "s", 0.8, same=["t"]).collect()] == [(1, 2, 1.0)]
+
+
+def test_large_sets_that_meet_are_not_compared_in_full(spark, monkeypatch):
+    rnd = random.Random(7)
+    # large sets of few usual words each: all meet, and fill a sketch of 128 bits
+    of = {i: set(rnd.sample(range(1200), 400 + 3 * i)) for i in range(60)}
+    for i in range(60, 66):
+        of[i] = set(sorted(of[i - 60])[25:])
+    df = spark.createDataFrame([(i, [f"w{x}" for x in v]) for i, v in of.items()], "k long, s array<string>").repartition(4)
+    kept = {}
+    monkeypatch.setattr(sets, "stage", lambda df, name: kept.setdefault(name, stage(df, name)))
+    got = sorted((r.a, r.b) for r in sets.similar_sets(df, "k", "s", 0.8).collect())
+    assert got == sorted((a, b) for a, b in combinations(of, 2) if len(of[a] & of[b]) / len(of[a] | of[b]) >= 0.8)
+    assert len(got) >= 6 and kept["met"].count() > 300 and kept["alike"].count() <= len(got) + 10
+
+
+def test_sketches_fold(spark):
+    a, b = (sets._parity(rng.integers(-(1 << 62), 1 << 62, n), bits) for rng, n, bits in ((sets.np.random.default_rng(1), 900, 1024), (sets.np.random.default_rng(2), 200, 256)))
+    same = sets._parity(sets.np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 900), 256)
+    df = spark.createDataFrame([(a.tolist(), b.tolist(), same.tolist())], "a array<long>, b array<long>, s array<long>")
+    r = df.select(sets._apart(df.a, df.b), sets._apart(df.s, df.b), sets._apart(df.a, df.s)).first()
+    assert r[0] == r[1] > 0 and r[2] == 0
